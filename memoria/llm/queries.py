@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_duplicates, sharding, token_store, warc
+from . import near_duplicates, repeats, sharding, token_store, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op4_token_ids": token_store.op4_token_ids,
     "op8_warc": warc.op8_warc,
     "op9_near_duplicates": near_duplicates.op9_near_duplicates,
+    "op10_repeats": repeats.op10_repeats,
 }
 ORACLES = {"op8_warc": warc.OP8_SQL}
