@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass works on; a single longer document makes its own pass.
 CHUNK = 1 << 20
@@ -57,7 +58,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Words of 64 bits in a filter of ``may_hold``: at most so many rows are broadcast, whatever the data.
+FILTER_WORDS = 1 << 16
+
+
+def may_hold(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` with a column ``_may``: false only if no row of ``keys`` has the same ``key`` (null equals null).
+
+    A one-hash Bloom filter as a table of FILTER_WORDS rows at most. A large ``keys`` fills it up, which
+    costs later steps more rows but no result.
+    """
+    def spot(frame: DataFrame) -> F.Column:
+        return F.pmod(F.xxhash64(frame[key].cast("string")), F.lit(FILTER_WORDS * 64))
+
+    bits = keys.select(spot(keys).alias("_spot")).groupBy(F.expr("_spot div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_spot % 64 AS int))")).alias("_mask"))
+    marked = df.withColumn("_spot", spot(df)).withColumn("_word", F.expr("_spot div 64"))
+    marked = marked.join(F.broadcast(bits), "_word", "left")
+    return marked.withColumn("_may", F.expr("coalesce(getbit(_mask, cast(_spot % 64 AS int)) = 1, false)")).drop("_spot", "_word", "_mask")
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    """A table of the data folder. Rows reach Python workers a few hundred at a time, so very long texts do not add up there."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import near_duplicates, repeats, sharding, token_store, warc
+from . import decontamination, near_duplicates, repeats, sharding, token_store, warc
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_sharding": sharding.op2_sharding,
     "op4_token_ids": token_store.op4_token_ids,
     "op8_warc": warc.op8_warc,
