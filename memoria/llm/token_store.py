@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import functools
+import os
 import sys
 import unicodedata
 import zlib
@@ -105,28 +107,30 @@ def dac_file(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray) -> by
 LETTER, NUMBER, WHITE, OTHER = range(4)
 
 
-@functools.cache
-def _classes() -> np.ndarray:
-    """The byte-level pattern's class of every code point, by its Unicode category."""
-    out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    white = {9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
-    for c in range(sys.maxunicode + 1):
+_WHITE = {9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
+_UNSEEN = 255
+_KINDS = np.full(sys.maxunicode + 1, _UNSEEN, np.uint8)
+
+
+def _classes(points: np.ndarray) -> np.ndarray:
+    """The byte-level pattern's class of each code point, by its Unicode category; looked up once for each point."""
+    out = _KINDS[points]
+    for c in np.unique(points[out == _UNSEEN]).tolist():
         kind = unicodedata.category(chr(c))[0]
-        out[c] = WHITE if c in white else LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
-    return out
+        _KINDS[c] = WHITE if c in _WHITE else LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
+    return _KINDS[points]
 
 
 def _byte_classes(data: np.ndarray) -> np.ndarray:
     """The class of the character that each UTF-8 byte belongs to."""
-    table = _classes()
-    out = table[np.minimum(data, 127)]
+    out = _classes(np.arange(128))[np.minimum(data, 127)]
     lead = np.flatnonzero(data >= 0xC0)
     if len(lead):
         b = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.uint32)
         first, x, y, z = (b[lead + k] for k in range(4))
         two, three = first < 0xE0, first < 0xF0
         point = np.where(two, (first & 31) << 6 | x & 63, np.where(three, (first & 15) << 12 | (x & 63) << 6 | y & 63, (first & 7) << 18 | (x & 63) << 12 | (y & 63) << 6 | z & 63))
-        kind = table[point]
+        kind = _classes(point)
         out[lead], out[lead + 1] = kind, kind
         at = lead[~two]
         out[at + 2] = kind[~two]
@@ -162,40 +166,56 @@ class WordEncoder:
     """Encodes texts word by word with the tokenizers library; each word is encoded once while the cache holds it.
 
     The byte-level tokenizer never merges across the matches of its own pattern, so a text's ids are its
-    matches' ids in order. New words go to the library joined by line feeds, which are matches of their own there.
-    Texts with contractions or the special token go to the library whole.
+    matches' ids in order. New words go to the library's model in batches, joined by line feeds, which are
+    split off as pieces of their own. Texts with contractions or the special token go to the library whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        # The byte-level alphabet: the visible Latin-1 characters stand for themselves, other bytes for code points from 256 on.
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = iter(range(256, 512))
+        self.alphabet = "".join(chr(b) if b in seen else chr(next(other)) for b in range(256))
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Split(self.alphabet[10], "isolated")
         self.clear()
 
     def clear(self) -> None:
         self.hashes, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray, white: np.ndarray) -> None:
+    def _solid(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, batch: int = 256) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(ids, numbers of ids) of words that hold no line feed."""
+        size = ends - starts + 1
+        total = np.cumsum(size)
+        at = np.repeat(starts - total + size, size) + np.arange(total[-1]) if len(size) else np.zeros(0, np.int64)
+        joined = data[np.minimum(at, len(data) - 1)]
+        joined[total - 1] = 10
+        text = codecs.charmap_decode(joined.tobytes(), "strict", self.alphabet)[0]
+        cuts = [0, *total[batch - 1 :: batch].tolist()]
+        if len(total) and cuts[-1] != total[-1]:
+            cuts.append(int(total[-1]))
+        encoded = self.model.encode_batch_fast([text[a:b] for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in encoded]) if encoded else np.zeros(0, np.uint32)
+        feeds = np.flatnonzero(ids == self.feed)
+        if len(feeds) != len(starts):
+            raise ValueError("words were not kept apart")
+        return [ids[ids != self.feed]], [np.diff(feeds, prepend=-1) - 1]
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, white: np.ndarray) -> None:
         solid, blank = np.flatnonzero(~white), np.flatnonzero(white)
-        found: list[np.ndarray] = []
-        for k in range(0, len(solid), 20_000):
-            some = solid[k : k + 20_000]
-            text = b"\n".join([data[s:e] for s, e in zip(starts[some].tolist(), ends[some].tolist())]).decode()
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.feed[0])
-            if len(cuts) != len(some) - 1:
-                raise ValueError("words were not kept apart")
-            found.extend(np.split(ids, cuts))
-            found[-len(some) + 1 :] = [x[1:] for x in found[-len(some) + 1 :]] if len(some) > 1 else found[len(found) :]
-        for e in self.tokenizer.encode_batch([data[starts[i] : ends[i]].decode() for i in blank], add_special_tokens=False):
-            found.append(np.array(e.ids, np.uint32))
+        ids, counts = self._solid(data, starts[solid], ends[solid])
+        for e in self.tokenizer.encode_batch([data[starts[i] : ends[i]].tobytes().decode() for i in blank], add_special_tokens=False):
+            ids.append(np.array(e.ids, np.uint32))
+            counts.append(np.array([len(e.ids)]))
         order = np.concatenate((solid, blank))
         base = len(self.begin) - 1
-        lengths = np.array([len(x) for x in found], np.int64)
-        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(lengths)))
-        self.pool = np.concatenate((self.pool, *found))
+        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.concatenate(counts))))
+        self.pool = np.concatenate((self.pool, *ids))
         hashes, where = hashes[order], base + np.arange(len(order))
         rank = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[rank])
@@ -219,7 +239,7 @@ class WordEncoder:
         new[held] = self.hashes[at[held]] != unique[held]
         if new.any():
             some = index[new]
-            self._learn(unique[new], raw, starts[some], ends[some], white[some])
+            self._learn(unique[new], data, starts[some], ends[some], white[some])
             at = np.searchsorted(self.hashes, unique)
         where = self.where[at][back]
         begin = self.begin[where]
@@ -250,6 +270,12 @@ class WordEncoder:
         return sorted(rows)
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each worker process, so that its cache outlives a task."""
+    return WordEncoder(path)
+
+
 MANIFEST = "part int, seq int, path string, sha256 string, docs long, tokens long"
 
 
@@ -260,7 +286,7 @@ def write_tokens(df: DataFrame, folder: str, *, tokenizer: str, key: str = "doc_
     documents and holds ``files_tokens`` ids at a time. Null or empty texts are the end id alone.
     """
     def write(batches):
-        encoder, part, seq = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        words, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         doc_ids, counts, held, size = [], [], [], 0
 
         def flush():
@@ -271,7 +297,7 @@ def write_tokens(df: DataFrame, folder: str, *, tokenizer: str, key: str = "doc_
             return row
 
         for batch, data, offsets in pieces(batches, "text"):
-            ids, per_row = encoder.encode(data, offsets)
+            ids, per_row = words.encode(data, offsets)
             ids = np.insert(ids, np.cumsum(per_row), np.uint32(end_id))
             per_row = per_row + 1
             doc_ids += batch.column(0).to_pylist()
