@@ -71,11 +71,16 @@ def write_warc(pages: DataFrame, folder: str, *, key: str = "page_id", url: str
             seq, held, size, count = seq + 1, [], 0, 0
             return row
 
+        mark = (None, None, None)
         for batch in batches:
-            columns = [batch.column(k) for k in range(5)]
+            columns = [batch.column(k) for k in range(6)]
             for i in range(batch.num_rows):
-                page, link, body, refers, digest = (c[i].as_py() for c in columns)
-                held.append(_member(_record(page, link, (body or "").encode(), refers, digest), level))
+                page, digest, is_mark, link, body, refers = (c[i].as_py() for c in columns)
+                if is_mark:
+                    mark = (page, digest, refers)
+                    continue
+                refers = mark[2] if mark[:2] == (page, digest) else None
+                held.append(_member(_record(page, link, body.encode(), refers, digest), level))
                 size, count = size + len(held[-1]), count + 1
                 if size >= file_bytes:
                     yield flush()
@@ -87,18 +92,28 @@ def write_warc(pages: DataFrame, folder: str, *, key: str = "page_id", url: str
     digests = rows.filter(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
     repeats = digests.filter("n > 1").select("digest", "response")
     n = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.join(repeats, "digest", "left")
-    rows = rows.select("page_id", "url", "html", F.when(F.col("page_id") != F.col("response"), F.col("response")).alias("refers_to"), "digest")
-    rows = rows.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "url", "digest")
+    # Payloads are shuffled once: what a revisit refers to comes as a row of its own that sorts before its page.
+    narrow = rows.filter(F.octet_length("html") >= REVISIT_BYTES).select("page_id", "digest")
+    marks = narrow.join(repeats, "digest").filter("page_id != response").distinct()
+    none = F.lit(None).cast("string")
+    marks = marks.select("page_id", "digest", F.lit(True).alias("mark"), none.alias("url"), none.alias("html"), F.col("response").alias("refers_to"))
+    rows = rows.select("page_id", "digest", F.lit(False).alias("mark"), "url", "html", F.lit(None).cast("long").alias("refers_to")).union(marks)
+    rows = rows.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "digest", F.desc("mark"), "url")
     return materialize(rows.mapInArrow(write, MANIFEST), "warc-manifest")
 
 
 def parse_warc(data: bytes):
     """(headers, payload) of each gzip member; digests are checked."""
-    while data:
-        z = zlib.decompressobj(31)
-        record = z.decompress(data) + z.flush()
-        data = z.unused_data
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            some = view[at : at + 65536]
+            if not some:
+                raise ValueError("a file ends within a record")
+            parts.append(z.decompress(some))
+            at += len(some) - len(z.unused_data)
+        record = b"".join(parts)
         head, _, rest = record.partition(b"\r\n\r\n")
         headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
         block = rest[: int(headers["Content-Length"])]
