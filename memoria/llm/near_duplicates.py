@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, documents, materialize, mix, pieces, signed, words
+from .common import Rolling, documents, materialize, may_hold, mix, pieces, signed, words
 from .components import components
 
 WORDS = 5
@@ -209,7 +209,9 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", n
                     ["fp", "family", "weight", "blocks", "block", "shingles"],
                 )
 
-    held = rows.join(families, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "fp", "family", "weight", "blocks", "block").mapInArrow(gather, member_schema)
+    # Only texts that may be members are shuffled to meet their families.
+    some = may_hold(rows, families.select(F.col("rep").alias("doc_id")), "doc_id").filter("_may").drop("_may")
+    held = some.join(families, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "fp", "family", "weight", "blocks", "block").mapInArrow(gather, member_schema)
     # A member meets every block of its family: with b blocks that is b rows for it, each of a bounded task.
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
