@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, documents, materialize, mix, pieces, signed
+from .common import Rolling, documents, materialize, may_hold, mix, pieces, signed
 
 LENGTH = 400
-#: Bytes of the seeds whose least hash names a string.
-SEED = 16
+#: Bytes of the seeds whose least hash names a string. Longer ones seldom recur outside true repeats.
+SEED = 64
 #: Starts that one segment may hold; longer runs are cut, and their parts still meet by their seed.
 SEGMENT_STARTS = 1024
 #: Bytes that one index holds. A seed with more distinct text than this is cut by further seeds.
@@ -30,16 +30,10 @@ def _window_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return held
 
 
-def _seeds(data: np.ndarray, level: int) -> np.ndarray:
+def _seeds(roll: Rolling, n: int, level: int) -> np.ndarray:
     """A hash of the SEED bytes at each position; ``level`` picks another hash function."""
-    n = len(data) - SEED + 1
-    low = np.ndarray((n,), "<u8", data, 0, (1,))
-    high = np.ndarray((n,), "<u8", data, 8, (1,))
-    x = low * np.uint64(0x9E3779B97F4A7C15 + 2 * level) ^ (high + np.uint64(level)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    return x
+    at = np.arange(n - SEED + 1)
+    return mix(roll(at, at + SEED) + np.uint64(level))
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level: int = 0) -> tuple[np.ndarray, ...]:
@@ -52,8 +46,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level:
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
     if len(data) < length:
         return none
-    data = np.ascontiguousarray(data)
-    seeds = _seeds(data, level)
+    roll = Rolling(data)
+    seeds = _seeds(roll, len(data), level)
     width = length - SEED + 1
     least = _window_minimum(seeds, width)
     # Starts whose whole string lies in its row.
@@ -88,7 +82,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level:
     value, where = seeds[mins][order], mins[order]
     near = (value[1:] == value[:-1]) & (np.diff(where) <= width + SEGMENT_STARTS)
     twice = np.isin(seed, value[1:][near])
-    return at_row, edge, end, seed, Rolling(data)(edge, end + length - 1), twice
+    return at_row, edge, end, seed, roll(edge, end + length - 1), twice
 
 
 class RunLengthIndex:
@@ -111,7 +105,7 @@ class RunLengthIndex:
         order = None
         longest = int(self.lengths.max()) if n else 0
         while n:
-            order = np.argsort(rank, kind="stable")
+            order = np.argsort(rank)
             sorted_rank = rank[order]
             if depth >= longest or (len(sorted_rank) == 1) or not (sorted_rank[1:] == sorted_rank[:-1]).any():
                 break
@@ -124,7 +118,7 @@ class RunLengthIndex:
             depth *= 2
         if not n:
             order = np.zeros(0, np.int64)
-        # Equal suffixes of different texts stay in text order, as distinct end marks would have it.
+        # Equal suffixes of different texts may stand in any order: a neighbour shares all of them either way.
         before = np.where(order == self.begins[owner[order]] if n else False, 256 + owner[order] if n else 0, data[order - 1] if n else 0).astype(np.int64)
         head = np.concatenate(([True], before[1:] != before[:-1])) if n else np.zeros(0, bool)
         self.heads = np.flatnonzero(head)
@@ -220,6 +214,11 @@ def find_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", leng
     seeds = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("again")).filter("n > 1 OR again").select("seed")
     held = materialize(found.join(seeds, "seed"), "candidates")
     distinct = held.groupBy("seed", "body", "starts").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_key", "whole", "first")).alias("at"))
+    # A seed whose segments are all copies of one text needs no index: every start repeats.
+    distinct = materialize(distinct, "distinct")
+    alone = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("texts"), F.min("n").alias("copies")).filter("texts = 1 AND copies > 1").select("seed")
+    copies = distinct.join(alone, "seed").select("seed", "body", "starts", F.array(F.struct(F.lit(0).alias("s"), F.col("starts").alias("e"))).alias("ranges"))
+    distinct = distinct.join(alone, "seed", "left_anti")
     wanted = distinct.select(F.col("at._key").alias("_key"), F.col("at.whole").alias("whole"), F.struct(F.col("at.first").alias("first"), "starts", "seed", "body", F.least("n", F.lit(2)).cast("int").alias("n")).alias("piece"))
     wanted = wanted.groupBy("_key", "whole").agg(F.collect_list("piece").alias("pieces"))  # within one document
 
@@ -239,7 +238,9 @@ def find_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", leng
             yield pa.RecordBatch.from_pydict({"seed": pa.array(out["seed"], pa.int64()), "body": pa.array(out["body"], pa.int64()), "starts": pa.array(out["starts"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "bytes": pa.array(out["bytes"], pa.binary())})
 
     piece_schema = "seed long, body long, starts int, n int, bytes binary"
-    texts = rows.join(wanted, rows["_key"].eqNullSafe(wanted["_key"])).select("text", "whole", "pieces").mapInArrow(fetch, piece_schema)
+    wanted = materialize(wanted, "wanted")
+    some = may_hold(rows, wanted.select("_key"), "_key").filter("_may").drop("_may")
+    texts = some.join(wanted, some["_key"].eqNullSafe(wanted["_key"])).select("text", "whole", "pieces").mapInArrow(fetch, piece_schema)
     total = distinct.agg(F.coalesce(F.sum(F.col("starts") + length - 1), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("c")).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, -(-total["b"] // (4 * index_bytes)))
@@ -274,13 +275,17 @@ def find_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", leng
             yield finish()
 
     marked = materialize(texts.mapInArrow(index, f"seed long, body long, starts int, ranges {SPANS}"), "ranges")
+    marked = marked.union(copies)
     runs = held.join(marked, ["seed", "body", "starts"]).select("_key", "whole", F.explode("ranges").alias("r"), "first")
     runs = runs.select("_key", "whole", (F.col("first") + F.col("r.s")).alias("s"), (F.col("first") + F.col("r.e") + (length - 1)).alias("e"))
     # Within one document; identical rows bring equal runs, which sets hold once.
     runs = runs.groupBy("_key", "whole").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("runs"))
-    by_key = runs.groupBy("_key").agg(F.collect_list(F.struct("whole", "runs")).alias("_runs"))
-    keyed = df.withColumn("_key", F.col(key).cast("string"))
-    return keyed.join(by_key, keyed["_key"].eqNullSafe(by_key["_key"]), "left").select(*[keyed[c] for c in names], "_runs")
+    by_key = materialize(runs.groupBy("_key").agg(F.collect_list(F.struct("whole", "runs")).alias("_runs")), "runs")
+    keyed = may_hold(df.withColumn("_key", F.col(key).cast("string")), by_key.select("_key"), "_key")
+    some = keyed.filter("_may")
+    some = some.join(by_key, some["_key"].eqNullSafe(by_key["_key"]), "left").select(*[some[c] for c in names], "_runs")
+    # Rows without repeats are not shuffled.
+    return some.union(keyed.filter("NOT _may").select(*names, F.lit(None).cast(by_key.schema["_runs"].dataType).alias("_runs")))
 
 
 def _by_further_seeds(texts: list[bytes], counts: list[int], length: int, limit: int, level: int = 1) -> list[list[tuple[int, int]]]:
