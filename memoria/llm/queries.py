@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_duplicates, repeats, sharding, token_store, warc
+from . import decontamination, near_duplicates, quality, repeats, sharding, token_store, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_sharding": sharding.op2_sharding,
+    "op3_quality": quality.op3_quality,
     "op4_token_ids": token_store.op4_token_ids,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op8_warc": warc.op8_warc,
     "op9_near_duplicates": near_duplicates.op9_near_duplicates,
     "op10_repeats": repeats.op10_repeats,
