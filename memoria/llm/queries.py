@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_duplicates, quality, repeats, sharding, token_store, toxicity, warc
+from . import decontamination, near_duplicates, nearest, quality, repeats, sentencepiece, sharding, token_store, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_token_ids": token_store.op4_token_ids,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_nearest": nearest.op6_nearest,
+    "op7_sentencepiece": sentencepiece.op7_sentencepiece,
     "op8_warc": warc.op8_warc,
     "op9_near_duplicates": near_duplicates.op9_near_duplicates,
     "op10_repeats": repeats.op10_repeats,

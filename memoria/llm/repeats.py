@@ -364,5 +364,21 @@ def repeat_report(df: DataFrame, **options) -> DataFrame:
     return found.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def remove_repeats(df: DataFrame, *, text: str = "text", chars: str | None = "n_chars", **options) -> DataFrame:
+    """The rows of ``df`` with the repeated runs cut out of their texts, and ``chars`` set anew where it is a column. Characters that a run's end would split go too; null texts stay null."""
+    def cut(batches):
+        for batch, raw, offsets, spans in _rows(batches):
+            at = batch.schema.get_field_index("text")
+            old = batch.column(at)
+            kept = [_kept(raw, a, b, x).decode(errors="ignore") if x else old[i].as_py() for i, (a, b, x) in enumerate(zip(offsets, offsets[1:], spans))]
+            columns = [pa.array(kept, pa.string()) if k == at else c for k, c in enumerate(batch.columns)][:-1]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    out = find_repeats(df, text=text, **options).mapInArrow(cut, df.schema)
+    if chars in df.columns:
+        out = out.withColumn(chars, F.coalesce(F.length(text).cast(df.schema[chars].dataType), F.col(chars)))
+    return out.select(df.columns)
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(documents(spark, sf_dir))
