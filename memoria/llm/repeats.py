@@ -112,14 +112,14 @@ class RunLengthIndex:
             dense = np.empty(n, np.int64)
             dense[order] = np.cumsum(np.concatenate(([1], sorted_rank[1:] != sorted_rank[:-1])))
             ahead = np.zeros(n, np.int64)
-            ahead[: n - depth] = dense[depth:]
+            ahead[: max(0, n - depth)] = dense[depth:]
             ahead[left <= depth] = 0
             rank = dense * (n + 1) + ahead
             depth *= 2
         if not n:
             order = np.zeros(0, np.int64)
         # Equal suffixes of different texts may stand in any order: a neighbour shares all of them either way.
-        before = np.where(order == self.begins[owner[order]] if n else False, 256 + owner[order] if n else 0, data[order - 1] if n else 0).astype(np.int64)
+        before = np.where(order == self.begins[owner[order]], 256 + owner[order], data[order - 1]) if n else np.zeros(0, np.int64)
         head = np.concatenate(([True], before[1:] != before[:-1])) if n else np.zeros(0, bool)
         self.heads = np.flatnonzero(head)
         self.symbols = before[self.heads]
@@ -135,6 +135,7 @@ class RunLengthIndex:
         rank = np.zeros(len(data), np.int64)
         for k in range(7):
             symbol = np.zeros(len(data), np.int64)
+            k = min(k, len(data))
             symbol[: len(data) - k] = data[k:].astype(np.int64) + 1
             symbol[left <= k] = 0
             rank = (rank << 9) | symbol
