@@ -122,7 +122,10 @@ LABELS = [
 
 def knowledge(messages: DataFrame, *, key: str, text: str) -> DataFrame:
     """(key, category, content) of labelled statements of more than ten characters."""
-    parts = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda c, k=k: F.struct(F.lit(k).alias("category"), F.trim(c).alias("content"))) for p, k in LABELS]
+    def labelled(pattern: str, kind: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda c: F.struct(F.lit(kind).alias("category"), F.trim(c).alias("content")))
+
+    parts = [labelled(p, k) for p, k in LABELS]
     rows = messages.select(F.col(key).alias("key"), F.explode(F.concat(*parts)).alias("k")).select("key", "k.category", "k.content")
     return rows.filter(F.length("content") > 10)
 
