@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD_BREAK, message_keywords
+from .fold import ordered_fold
 
 # Windows and thresholds.
 ECHO_WINDOW, ECHO_SIMILARITY = 10, 0.70
@@ -37,25 +40,18 @@ def novelty(messages: DataFrame, keys: list[str], order: list[str], text: str =
 def rate_limit(messages: DataFrame, agent: str, at: str, key: str, *, most: int = RATE_MESSAGES, seconds: int = RATE_SECONDS) -> DataFrame:
     """(agent, key, at, accepted): at most ``most`` accepted messages in any ``seconds``; rejected ones do not count.
 
-    The rule depends on its own decisions, so each agent's messages are folded in order. A limiter forgets within
-    ``seconds``; days are cut where that much time passes without a message, which changes no decision.
+    The rule depends on its own decisions, so each agent's messages are folded in order; the state is the times of its last accepted messages.
     """
-    time = F.col(at).cast("timestamp")
-    rows = messages.select(F.col(agent).alias("agent"), F.col(key).alias("key"), time.alias("at"), F.unix_micros(time).alias("_t"))
-    order = Window.partitionBy("agent").orderBy("_t", "key")
-    gap = F.when(F.col("_t") - F.lag("_t").over(order) > seconds * 1_000_000, 1).otherwise(0)
-    runs = rows.withColumn("_gap", gap).withColumn("run", F.sum("_gap").over(order)).groupBy("agent", "run")
-    ordered = runs.agg(F.array_sort(F.collect_list(F.struct(F.col("_t").alias("t"), "key", "at"))).alias("m"))
+    kinds = dict(messages.dtypes)
+    rows = messages.select(F.col(agent).alias("agent"), F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
 
-    def step(state: Column, m: Column) -> Column:
-        live = F.filter(state["live"], lambda t: t >= m["t"] - seconds * 1_000_000)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.concat(live, F.array(m["t"]))).otherwise(live).alias("live"), F.concat(state["out"], F.array(F.struct(m["key"].alias("key"), m["at"].alias("at"), ok.alias("accepted")))).alias("out"))
+    def step(live: list, row: dict) -> tuple[list, dict]:
+        live = [t for t in live if t >= row["t"] - seconds * 1_000_000]
+        ok = len(live) < most
+        return live + [row["t"]] if ok else live, row | {"accepted": ok}
 
-    kinds = dict(rows.dtypes)
-    start = F.struct(F.array().cast("array<bigint>").alias("live"), F.array().cast(f"array<struct<key:{kinds['key']},at:timestamp,accepted:boolean>>").alias("out"))
-    folded = ordered.select("agent", F.explode(F.aggregate("m", start, step, lambda s: s["out"])).alias("o"))
-    return folded.select("agent", "o.key", "o.at", "o.accepted")
+    folded = ordered_fold(rows, ["agent"], ["t", "key"], list, step, f"agent {kinds[agent]}, key {kinds[key]}, t long, accepted boolean")
+    return folded.select("agent", "key", F.timestamp_micros("t").alias("at"), "accepted")
 
 
 def mentions(messages: DataFrame, *, key: str, sender: str, text: str) -> DataFrame:
@@ -202,11 +198,14 @@ def packed(text: Column, tier: Column) -> Column:
 
 def hash_chain(messages: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """(keys, order, link): SHA-256 of the link before and the text, folded in order within each group."""
-    grouped = messages.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("m"))
-    start = F.array().cast("array<struct<o:bigint,link:string>>")
-    last = lambda out: F.coalesce(F.try_element_at(out, F.lit(-1))["link"], F.lit(""))
-    step = lambda out, m: F.concat(out, F.array(F.struct(m["o"].cast("bigint").alias("o"), F.sha2(F.concat(last(out), F.coalesce(m["t"], F.lit(""))).cast("binary"), 256).alias("link"))))
-    return grouped.select(*keys, F.explode(F.aggregate("m", start, step)).alias("c")).select(*keys, F.col("c.o").alias(order), "c.link")
+    kinds = dict(messages.dtypes)
+
+    def step(link: str, row: dict) -> tuple[str, dict]:
+        link = hashlib.sha256((link + (row[text] or "")).encode()).hexdigest()
+        return link, {k: row[k] for k in (*keys, order)} | {"link": link}
+
+    rows = messages.select(*keys, order, text)
+    return ordered_fold(rows, keys, [order], str, step, ", ".join(f"{k} {kinds[k]}" for k in (*keys, order)) + ", link string")
 
 
 def verify_chain(chain: DataFrame, messages: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import emotion, hashing, safety, text, transforms
 from ..operators import aggregates, conversation, graph, index, rank, relational
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,7 +56,7 @@ prints AS (SELECT d.doc_id, coalesce({_SIGNED('u')}, 0) AS simhash FROM document
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 # -- index ----------------------------------------------------------------------------------------
@@ -544,7 +544,8 @@ def set_intersection(spark, d):
 
 # -- graph ----------------------------------------------------------------------------------------
 
-_LINKS = f"""{_TOKENS}, pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS overlap FROM ann a JOIN ann b ON a.token = b.token AND a.doc_id < b.doc_id WHERE a.rnk <= 10 AND b.rnk <= 10 GROUP BY ALL HAVING count(*) >= 3),
+_LINKS = f"""{_TOKENS}, firstten AS (SELECT doc_id, token FROM ann WHERE rnk <= 10), few AS (SELECT token FROM firstten GROUP BY token HAVING count(*) BETWEEN 2 AND 100), linking AS (SELECT * FROM firstten WHERE token IN (SELECT token FROM few)),
+ pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS overlap FROM linking a JOIN linking b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 3),
  links AS (SELECT x AS source_id, y AS target_id, overlap, least(1.0, 0.3 + 0.1 * overlap) AS strength FROM pairs UNION ALL SELECT y, x, overlap, least(1.0, 0.3 + 0.1 * overlap) FROM pairs)"""
 
 

@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table of few files dealt out by key where its scan has fewer tasks than there are cores; larger tables stay as they are read.
+
+    What is later grouped by the key, alone or with other columns, needs no further shuffle then.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def chat_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``AGENT: message`` of text files: agent, content, and the file that holds them. Other lines are left out."""
     lines = spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.conversation import RATE_MESSAGES, RATE_SECONDS
+from ..operators.fold import ordered_fold
 
 LATE = "1 hour"
 
@@ -68,16 +69,15 @@ def rate_limit(events: DataFrame, *, agent: str, key: str, at: str, most: int =
 
 def cooldown(events: DataFrame, *, key: str = "path", at: str = "ts", ok: str = "ok", seconds: int = 30) -> DataFrame:
     """Batch: events of each key that come at least ``seconds`` after the last successful ingest of it. Only accepted and successful ones start a new rest."""
+    kind = dict(events.dtypes)[key]
     rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(ok).alias("ok"))
-    ordered = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("t", "ok"))).alias("m"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<t:bigint,accepted:boolean>>").alias("out"))
 
-    def step(state, m):
-        free = F.coalesce(m["t"] - state["last"] >= seconds * 1_000_000, F.lit(True))
-        return F.struct(F.when(free & m["ok"], m["t"]).otherwise(state["last"]).alias("last"), F.concat(state["out"], F.array(F.struct(m["t"].alias("t"), free.alias("accepted")))).alias("out"))
+    def step(last: list, row: dict) -> tuple[list, dict]:
+        free = not last or row["t"] - last[0] >= seconds * 1_000_000
+        return [row["t"]] if free and row["ok"] else last, {"key": row["key"], "t": row["t"], "accepted": free}
 
-    out = ordered.select("key", F.explode(F.aggregate("m", start, step, lambda s: s["out"])).alias("o"))
-    return out.select("key", F.timestamp_micros("o.t").alias("ts"), "o.accepted")
+    out = ordered_fold(rows, ["key"], ["t"], list, step, f"key {kind}, t long, accepted boolean")
+    return out.select("key", F.timestamp_micros("t").alias("ts"), "accepted")
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
