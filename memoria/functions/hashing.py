@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +14,16 @@ PRIME_LOW = 0x1B3  # the prime is 2^40 + 0x1B3
 
 def fnv1a(text: Column) -> Column:
     """Signed 64-bit FNV-1a of the UTF-8 bytes. Halves of 32 bits keep every step inside a long, so ANSI mode never overflows."""
-    latin = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return bound(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), _fnv1a_latin)
+
+
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` applied to a value that is computed once for each row, however often it is used."""
+    return F.transform(F.array(value), make)[0]
+
 
+def _fnv1a_latin(latin: Column) -> Column:
+    """The hash of a text with one character for each byte."""
     def step(state: Column, i: Column) -> Column:
         low = state["low"].bitwiseXOR(F.ascii(F.substring(latin, i, F.lit(1))).cast("long"))
         product = low * PRIME_LOW

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hashing import bound
+
 # Words that are never keywords.
 STOPWORDS = """
 the and for are but not you all can had her was one our out has have been from this that with they will each make like
@@ -56,9 +58,10 @@ def is_keyword(token: Column) -> Column:
 
 def intents(text: Column) -> Column:
     """Names of the intents whose patterns match the lowered text."""
-    low = F.lower(text)
-    hits = [F.when(low.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(name)) for name, patterns in INTENTS.items()]
-    return F.array_compact(F.array(*hits))
+    def names(low: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(low.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(name)) for name, patterns in INTENTS.items()]))
+
+    return bound(F.lower(text), names)
 
 
 def summary(text: Column, most: int = 300) -> Column:

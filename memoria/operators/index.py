@@ -45,8 +45,7 @@ def annotate(docs: DataFrame, *, author: str | None = None, terms: list[str] = T
         return hits.select("doc_id", "token", F.lit(step).alias("step"), F.lit(WEIGHTS[step]).alias("weight"))
 
     named = [found(HASHTAG, r"#(\w+)"), found(MENTION, r"(?:^|[\s,.:;!?])@(\w+)")]
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms]))
+    held = hashing.bound(F.lower("text"), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms])))
     named.append(docs.select("doc_id", F.explode(held).alias("token"), F.lit(PROJECT).alias("step"), F.lit(WEIGHTS[PROJECT]).alias("weight")))
     if author:
         named.append(docs.filter(F.trim(author) != "").select("doc_id", F.lower(F.trim(author)).alias("token"), F.lit(AUTHOR).alias("step"), F.lit(WEIGHTS[AUTHOR]).alias("weight")))
@@ -101,8 +100,7 @@ def hamming_join(prints: DataFrame, distance: int = 6) -> DataFrame:
 
 def aspects(docs: DataFrame, *, source: str = "source", author: str = "lang", terms: list[str] = TERMS) -> DataFrame:
     """Five hashes of each document: keywords, source, author, first intent, first term."""
-    low = F.lower("text")
-    term = F.coalesce(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in sorted(terms)], F.lit("general"))
+    term = hashing.bound(F.lower("text"), lambda low: F.coalesce(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in sorted(terms)], F.lit("general")))
     intent = F.coalesce(F.try_element_at(text.intents(F.col("text")), F.lit(1)), F.lit("none"))
     named = docs.select(
         "doc_id",
