@@ -549,13 +549,9 @@ _LINKS = f"""{_TOKENS}, firstten AS (SELECT doc_id, token FROM ann WHERE rnk <=
  links AS (SELECT x AS source_id, y AS target_id, overlap, least(1.0, 0.3 + 0.1 * overlap) AS strength FROM pairs UNION ALL SELECT y, x, overlap, least(1.0, 0.3 + 0.1 * overlap) FROM pairs)"""
 
 
-def _links(spark, d):
-    return graph.shared_token_links(index.keywords(_docs(spark, d), 10))
-
-
 @query(f"WITH {_LINKS} SELECT source_id, target_id, overlap, round(strength, 4) AS strength FROM links")
 def shared_token_links(spark, d):
-    return _links(spark, d).withColumn("strength", F.round("strength", 4))
+    return graph.shared_token_links(index.keywords(_docs(spark, d))).withColumn("strength", F.round("strength", 4))
 
 
 _ORDER_LINKS = "links AS (SELECT DISTINCT l_suppkey AS source_id, 100000 + l_partkey % 500 AS target_id, 0.3 + 0.1 * (l_partkey % 7) AS strength FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 = 0 UNION SELECT DISTINCT 100000 + l_partkey % 500, l_suppkey, 0.3 + 0.1 * (l_partkey % 7) FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 = 0), best AS (SELECT source_id, target_id, max(strength) AS strength FROM links GROUP BY ALL)"
@@ -591,7 +587,7 @@ def edge_overrides(spark, d):
 
 @query(f"WITH {_LINKS}, g AS (SELECT source_id, count(*) AS n FROM links GROUP BY 1) SELECT coalesce(sum(n), 0)::BIGINT AS edges, count(*) AS nodes, max(n) AS max_degree, round(avg(n), 4) AS mean_degree FROM g")
 def graph_stats(spark, d):
-    return graph.graph_stats(_links(spark, d)).withColumn("mean_degree", F.round("mean_degree", 4))
+    return graph.shared_token_stats(index.keywords(_docs(spark, d))).withColumn("mean_degree", F.round("mean_degree", 4))
 
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'error') AS rejections, CASE WHEN count(*) FILTER (event_type = 'error') >= 10 THEN 'once_thought' WHEN count(*) FILTER (event_type = 'error') >= 5 AND NOT bool_or(event_type = 'purchase' AND value > 60) THEN 'sub_hidden' WHEN count(*) FILTER (event_type = 'error') >= 3 THEN 'soft_suppressed' ELSE 'active' END AS state FROM events GROUP BY user_id")
