@@ -604,7 +604,7 @@ def related_topics(spark, d):
 
 @query()
 def ppr_scores(spark, d):
-    return graph.pagerank(_order_links(spark, d), [1, 2, 3], sweeps=8).withColumn("score", F.round("score", 6))
+    return graph.pagerank(_order_links(spark, d), [1, 2, 3], sweeps=50, epsilon=1e-4).withColumn("score", F.round("score", 6))
 
 
 @query()

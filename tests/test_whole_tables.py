@@ -75,3 +75,21 @@ def test_outer_compare_whole(spark, whole):
     a, b = {i: digest(f"text {i % 90}") for i in range(50, 130)}, {i + 20: digest(f"text {i}") for i in range(60, 120)}
     expected = {(i, "added" if i not in a else "deleted" if i not in b else "modified" if a[i] != b[i] else "unchanged") for i in a.keys() | b.keys()}
     assert {(r.id, r.status) for r in QUERIES["outer_compare"](spark, whole[0]).collect()} == expected
+
+
+def test_ppr_scores_push_to_epsilon(spark, whole):
+    d, lines, _ = whole
+    out = edges(lines)
+    residual, score = {1: 1 / 3, 2: 1 / 3, 3: 1 / 3}, defaultdict(float)
+    for _ in range(50):
+        live = {n: r for n, r in residual.items() if r > 1e-4}
+        if not live:
+            break
+        residual = defaultdict(float, {n: r for n, r in residual.items() if n not in live})
+        for n, r in live.items():
+            score[n] += 0.15 * r
+            for t, w in out[n].items():
+                residual[t] += 0.85 * r * w / sum(out[n].values())
+    assert max(residual.values()) <= 1e-4 and sum(score.values()) > 0.99
+    found = {r.node: r.score for r in QUERIES["ppr_scores"](spark, d).collect()}
+    assert found == pytest.approx(dict(score), abs=2e-6)
