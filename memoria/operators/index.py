@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
 from ..functions import hashing, text
 
 # Weights of the steps that annotate a document, in the order in which the first to name a token wins.
@@ -133,16 +136,51 @@ def cascade(found: DataFrame) -> DataFrame:
     return out.select("doc_id", status.alias("status"))
 
 
+def converging(found: DataFrame) -> DataFrame:
+    """(a, b, matches), a < b: all pairs of documents that agree in at least two of the five aspects.
+
+    Documents that agree in all aspects but the keywords are one kind. Kinds that share two aspects are paired once each and their
+    documents afterwards; kinds that share a single one are paired only where the keywords are equal too.
+    """
+    coarse = [c for c in ASPECTS if c != "sem_hash"]
+    equal = lambda one, two: F.when(F.col(one) == F.col(two), 1).otherwise(0)
+    matches = sum(equal(c, f"other_{c}") for c in coarse)
+    doc = F.struct("doc_id", "sem_hash")
+
+    def kinds(keys: list[str]) -> tuple[DataFrame, DataFrame]:
+        grouped = found.groupBy(*keys).agg(F.min(doc).alias("rep"), F.count(F.lit(1)).alias("n"))
+        return grouped, graph.blocks(found.join(grouped.filter("n > 1"), keys).select("rep", "n", doc.alias("doc_id")))
+
+    # Two kinds meet under each pair of aspects that they share, and are returned under the first.
+    alike, blocked = kinds(coarse)
+    under = list(itertools.combinations(coarse, 2))
+    keyed = alike.withColumn("key", F.explode(F.array(*[F.struct(F.lit(i).alias("under"), F.col(x).alias("x"), F.col(y).alias("y")) for i, (x, y) in enumerate(under)])))
+    first = F.coalesce(*[F.when((F.col(x) == F.col(f"other_{x}")) & (F.col(y) == F.col(f"other_{y}")), F.lit(i)) for i, (x, y) in enumerate(under)])
+    met = graph.meet(keyed).filter(first == F.col("key.under")).select("rep", F.col("other_rep").alias("other"), matches.alias("matches"))
+    pairs = graph.within(blocked).select(F.lit(len(coarse)).alias("matches"), "x", "y").unionByName(graph.across(met, blocked, "matches"))
+    pairs = pairs.select("x", "y", (F.col("matches") + equal("x.sem_hash", "y.sem_hash")).alias("matches"))
+
+    exact, members = kinds(ASPECTS)
+    same = graph.meet(exact.withColumn("key", F.col("sem_hash"))).filter(matches == 1).select("rep", F.col("other_rep").alias("other"), F.lit(2).alias("matches"))
+    pairs = pairs.unionByName(graph.across(same, members, "matches").select("x", "y", "matches"))
+    return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.col("matches").cast("long").alias("matches"))
+
+
 def ingest_decision(found: DataFrame) -> DataFrame:
-    """skip, merge or insert: how many aspects a document shares with the earlier documents of its (keywords, source, author) triple.
+    """skip, merge or insert: the most aspects that a document shares with any earlier one.
 
-    At least three aspects are equal by then; the best earlier match has as many of the other two as some earlier row does.
+    Asked only where an earlier document has the same keywords, source and author, so at least three are equal by then.
     """
-    triple, rest = ["sem_hash", "source_hash", "agent_hash"], ["intent_hash", "project_hash"]
-    # One row for each combination of aspects, then a short list of them for each triple: both are partial aggregates.
-    kinds = found.groupBy(*triple, *rest).agg(F.min("doc_id").alias("first"))
-    seen = kinds.groupBy(*triple).agg(F.collect_list(F.struct(*rest, "first")).alias("seen"))
-    out = found.join(seen, triple)
-    equal = lambda k: 3 + sum(F.when(k[c] == F.col(c), 1).otherwise(0) for c in rest)
-    best = F.coalesce(F.array_max(F.transform(F.filter("seen", lambda k: k["first"] < F.col("doc_id")), equal)), F.lit(0))
-    return out.select("doc_id", best.cast("long").alias("best"), F.when(best >= 4, "skip").when(best >= 3, "merge").otherwise("insert").alias("decision"))
+    triple = ["sem_hash", "source_hash", "agent_hash"]
+    # The first document of each combination of aspects, and of each four of them, are partial aggregates.
+    kinds = found.groupBy(*ASPECTS).agg(F.min("doc_id").alias("first"))
+    held = kinds.join(kinds.groupBy(*triple).agg(F.min("first").alias("first_triple")), triple)
+    fours = [list(four) for four in itertools.combinations(ASPECTS, 4)]
+    for i, four in enumerate(fours):
+        held = held.join(kinds.groupBy(*four).agg(F.min("first").alias(f"four{i}")), four)
+    held = held.select(*ASPECTS, "first", "first_triple", F.least(*[f"four{i}" for i in range(len(fours))]).alias("first_four"))
+    best = F.lit(0)
+    for n, first in ((3, "first_triple"), (4, "first_four"), (5, "first")):
+        best = F.when((F.col(first) < F.col("doc_id")) & (F.col("first_triple") < F.col("doc_id")), n).otherwise(best)
+    out = found.join(held, ASPECTS).select("doc_id", best.cast("long").alias("best"))
+    return out.select("doc_id", "best", F.when(F.col("best") >= 4, "skip").when(F.col("best") >= 3, "merge").otherwise("insert").alias("decision"))

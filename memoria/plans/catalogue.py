@@ -178,11 +178,8 @@ def ingest_decision(spark, d):
 @query(f"""WITH {_ASPECTS}, x AS (SELECT a.doc_id AS a, b.doc_id AS b, ((a.source_hash = b.source_hash)::INT + (a.agent_hash = b.agent_hash)::INT + (a.intent_hash = b.intent_hash)::INT + (a.project_hash = b.project_hash)::INT + 1)::BIGINT AS matches
   FROM found a JOIN found b ON a.sem_hash = b.sem_hash AND a.doc_id < b.doc_id) SELECT a, b, matches, CASE WHEN matches >= 5 THEN 2.2 WHEN matches >= 4 THEN 1.7 WHEN matches >= 3 THEN 1.3 ELSE 1.0 END AS boost FROM x WHERE matches >= 2""")
 def aspect_convergence(spark, d):
-    found = index.aspects(_docs(spark, d))
-    other = found.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in index.ASPECTS])
-    same = sum(F.when(F.col(c) == F.col(f"b_{c}"), 1).otherwise(0) for c in index.ASPECTS)
-    pairs = found.join(other, F.col("sem_hash") == F.col("b_sem_hash")).filter("doc_id < b").withColumn("matches", same.cast("long"))
-    return pairs.filter("matches >= 2").select(F.col("doc_id").alias("a"), "b", "matches", rank.convergence(F.col("matches")).alias("boost"))
+    pairs = index.converging(index.aspects(_docs(spark, d)))
+    return pairs.select("a", "b", "matches", rank.convergence(F.col("matches")).alias("boost"))
 
 
 # -- ranking --------------------------------------------------------------------------------------
