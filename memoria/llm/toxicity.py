@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Rolling, documents, pieces, words
 from .quality import held_out
 
-#: Labelled rows that training holds at most, and the bytes of text that it takes from one of them.
+#: Labelled rows that training holds at most, and the bytes of their whole texts for each label.
 MAX_TOXIC = 2500
 MAX_CLEAN = 3500
-MAX_TEXT = 1 << 16
+MAX_BYTES = 32 << 20
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 DIMENSIONS = 6
@@ -145,7 +145,10 @@ def train(df: DataFrame, labels: DataFrame) -> ToxicityModel:
         parts.append(some.orderBy(F.xxhash64("doc_id")).limit(most))
     wanted = parts[0].union(parts[1])
     rows = df.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").filter(F.length("text") > 0)
-    held = rows.select(F.substring("text", 1, MAX_TEXT).alias("text"), "toxic").toPandas()
+    # Rows leave the sample where their texts are more than training holds; texts are never cut, and the first row always stays.
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("used", F.sum(F.octet_length("text").cast("long")).over(order)).withColumn("place", F.count(F.lit(1)).over(order))
+    held = rows.filter((F.col("used") <= MAX_BYTES) | (F.col("place") == 1)).select("text", "toxic").toPandas()
     return ToxicityModel([t.encode() for t in held["text"]], held["toxic"].to_numpy(np.float64))
 
 
