@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, scratch_path
-from .files import read_file, write_file
+from .files import NewFile, read_chunks
 
 #: Payloads from this many bytes on are written once; later equal ones become revisit records.
 REVISIT_BYTES = 1000
@@ -61,14 +63,13 @@ def write_warc(pages: DataFrame, folder: str, *, key: str = "page_id", url: str
     responses; null urls are empty; extra columns are ignored.
     """
     def write(batches):
-        part, seq, held, size, count = TaskContext.get().partitionId(), 0, [], 0, 0
+        part, seq, file, count = TaskContext.get().partitionId(), 0, None, 0
 
         def flush():
-            nonlocal seq, held, size, count
-            data = b"".join(held)
-            path, digest = write_file(folder, f"pages-{part:06d}-{seq:06d}.warc.gz", data)
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [path], "sha256": [digest], "records": [count], "bytes": [len(data)]})
-            seq, held, size, count = seq + 1, [], 0, 0
+            nonlocal seq, file, count
+            path, digest = file.commit()
+            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [path], "sha256": [digest], "records": [count], "bytes": [file.size]})
+            seq, file, count = seq + 1, None, 0
             return row
 
         mark = (None, None, None)
@@ -80,11 +81,12 @@ def write_warc(pages: DataFrame, folder: str, *, key: str = "page_id", url: str
                     mark = (page, digest, refers)
                     continue
                 refers = mark[2] if mark[:2] == (page, digest) else None
-                held.append(_member(_record(page, link, body.encode(), refers, digest), level))
-                size, count = size + len(held[-1]), count + 1
-                if size >= file_bytes:
+                file = file or NewFile(folder, f"pages-{part:06d}-{seq:06d}.warc.gz")
+                file.write(_member(_record(page, link, body.encode(), refers, digest), level))
+                count += 1
+                if file.size >= file_bytes:
                     yield flush()
-        if held:
+        if file:
             yield flush()
 
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("html"))
@@ -99,46 +101,50 @@ def write_warc(pages: DataFrame, folder: str, *, key: str = "page_id", url: str
     marks = marks.select("page_id", "digest", F.lit(True).alias("mark"), none.alias("url"), none.alias("html"), F.col("response").alias("refers_to"))
     rows = rows.select("page_id", "digest", F.lit(False).alias("mark"), "url", "html", F.lit(None).cast("long").alias("refers_to")).union(marks)
     rows = rows.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "digest", F.desc("mark"), "url")
-    return materialize(rows.mapInArrow(write, MANIFEST), "warc-manifest")
-
-
-def parse_warc(data: bytes):
-    """(headers, payload) of each gzip member; digests are checked."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        z, parts = zlib.decompressobj(31), []
-        while not z.eof:
-            some = view[at : at + 65536]
-            if not some:
-                raise ValueError("a file ends within a record")
-            parts.append(z.decompress(some))
-            at += len(some) - len(z.unused_data)
-        record = b"".join(parts)
-        head, _, rest = record.partition(b"\r\n\r\n")
-        headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
-        block = rest[: int(headers["Content-Length"])]
-        if base64.b32encode(hashlib.sha1(block).digest()).decode() != headers["WARC-Block-Digest"].removeprefix("sha1:"):
-            raise ValueError("a block differs from its digest")
-        yield headers, block.partition(b"\r\n\r\n")[2]
+    # A row for each file: a few tasks write the manifest down.
+    return materialize(rows.mapInArrow(write, MANIFEST).repartition(1 + n // 64), "warc-manifest")
+
+
+def parse_warc(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, payload) of each gzip member of a file that comes in chunks; digests are checked. One record is held at a time."""
+    chunks = iter(chunks)
+    while some := next(chunks, b""):
+        while some:
+            z, parts = zlib.decompressobj(31), []
+            while not z.eof:
+                if not some and not (some := next(chunks, b"")):
+                    raise ValueError("a file ends within a record")
+                parts.append(z.decompress(some))
+                some = z.unused_data
+            record = b"".join(parts)
+            head, _, rest = record.partition(b"\r\n\r\n")
+            headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
+            block = rest[: int(headers["Content-Length"])]
+            if base64.b32encode(hashlib.sha1(block).digest()).decode() != headers["WARC-Block-Digest"].removeprefix("sha1:"):
+                raise ValueError("a block differs from its digest")
+            yield headers, block.partition(b"\r\n\r\n")[2]
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
-    """The records of the files in a manifest: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
+    """The records of the files in a manifest: page_id, url, payload_bytes, payload_digest, record_type, refers_to. Files are read in chunks, rows leave a few hundred at a time."""
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
+    def rows(path: str, sha256: str):
+        for h, body in parse_warc(read_chunks(path, sha256)):
+            digest = base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+            if h["WARC-Type"] == "response" and hashlib.sha1(body).hexdigest() != digest:
+                raise ValueError("a payload differs from its digest")
+            yield int(h["X-Page-Id"]) if h["X-Page-Id"] else None, h["WARC-Target-URI"], int(h["X-Payload-Length"]), digest, h["WARC-Type"], int(h["X-Refers-To-Page-Id"]) if "X-Refers-To-Page-Id" in h else None
+
     def read(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                out = []
-                for h, body in parse_warc(read_file(row["path"], row["sha256"])):
-                    digest = base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                    if h["WARC-Type"] == "response" and hashlib.sha1(body).hexdigest() != digest:
-                        raise ValueError("a payload differs from its digest")
-                    out.append({"page_id": int(h["X-Page-Id"]) if h["X-Page-Id"] else None, "url": h["WARC-Target-URI"], "payload_bytes": int(h["X-Payload-Length"]), "payload_digest": digest, "record_type": h["WARC-Type"], "refers_to": int(h["X-Refers-To-Page-Id"]) if "X-Refers-To-Page-Id" in h else None})
-                yield pa.RecordBatch.from_pylist(out, schema)
-
-    return manifest.repartition(n, "part", "seq").mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+            for path, sha256 in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = rows(path, sha256)
+                while some := list(itertools.islice(found, 500)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some), schema)], schema=schema)
+
+    return manifest.repartition(n, "part", "seq").select("path", "sha256").mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
