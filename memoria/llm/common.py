@@ -84,12 +84,12 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with about ``limit`` bytes in ``column``: (slice, its bytes, offsets of each row in them). Null counts as empty."""
+    """Slices of the batches with about ``limit`` bytes in ``column`` (text or binary): (slice, its bytes, offsets of each row in them). Null counts as empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
         text = batch.column(batch.schema.get_field_index(column))
-        text = pc.fill_null(text.cast(pa.large_string()), "")
+        text = pc.fill_null(text.cast(pa.large_binary()), b"")
         offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
         data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
         row = 0

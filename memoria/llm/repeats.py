@@ -6,12 +6,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import Rolling, documents, materialize, may_hold, mix, pieces, signed
 
 LENGTH = 400
+#: Bytes of a passage: 51 words of prose have at least so many, in any language of the documents (240 is below 99.9 % of them).
+PASSAGE = 240
 #: Bytes of the seeds whose least hash names a string. Longer ones seldom recur outside true repeats.
 SEED = 64
 #: Starts that one segment may hold; longer runs are cut, and their parts still meet by their seed.
@@ -39,11 +43,10 @@ def _seeds(roll: Rolling, n: int, level: int) -> np.ndarray:
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level: int = 0) -> tuple[np.ndarray, ...]:
     """Cut every row's string starts into segments whose strings share their least seed hash.
 
-    Returns (row, first start, last start + 1, seed hash, hash of the segment's bytes, whether the seed occurs
-    more than once nearby), positions counted from the beginning of ``data``. Equal strings have equal least
+    Returns (row, first start, last start + 1, seed hash, whether the seed occurs more than once nearby), positions counted from the beginning of ``data``. Equal strings have equal least
     seeds wherever they stand, so they lie in segments of equal seed hash.
     """
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, bool))
     if len(data) < length:
         return none
     roll = Rolling(data)
@@ -82,7 +85,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level:
     value, where = seeds[mins][order], mins[order]
     near = (value[1:] == value[:-1]) & (np.diff(where) <= width + SEGMENT_STARTS)
     twice = np.isin(seed, value[1:][near])
-    return at_row, edge, end, seed, roll(edge, end + length - 1), twice
+    return at_row, edge, end, seed, twice
 
 
 class RunLengthIndex:
@@ -183,85 +186,77 @@ def repeated_starts(texts: list[bytes], counts: list[int], length: int = LENGTH)
 
 
 SPANS = "array<struct<s: int, e: int>>"
+#: Distinct bytes under one seed that a task indexes; a seed with more is cut again by other seeds, in tables of its own.
+HOT_BYTES = 2 << 20
+#: Times that such seeds are cut again in tables; what is then still under one seed is cut within its task.
+LEVELS = 3
 
 
-def find_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """For each row of ``df`` all its columns and ``spans``: the maximal runs of bytes covered by a ``length``-byte string that also starts elsewhere.
+def _find(docs: DataFrame, length: int, index_bytes: int, level: int = 0) -> DataFrame:
+    """(a, b, c, ranges) for the rows of ``docs`` (a string, b long, c long, n int, text) with strings that start elsewhere too.
 
-    Strings that are equal share their least seed hash, so starts are cut into segments by it; seeds that occur
-    once drop out after a partial count. Of the others every distinct segment text goes into one index of its
-    hash range, where a run-length BWT with sampled run ends yields matching statistics. Segments of one seed
-    with more text than ``index_bytes`` are cut again by other seed hashes, and copies collapse each time, so one
-    passage in very many documents costs one copy.
-
-    Null texts are empty. Documents under null or repeated keys count as documents of their own: rows with equal
-    key and text get equal spans. Extra columns pass through.
+    a, b and c name a row: rows that share them are equal and count each. ``n`` copies of a row stand for one.
+    ``ranges`` holds the starts (from, to before) of the strings of ``length`` bytes.
     """
-    spark = df.sparkSession
-    names = df.columns
-    rows = df.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("text"))
+    spark = docs.sparkSession
 
     def cut(batches):
         for batch, data, offsets in pieces(batches, "text"):
-            row, first, end, seed, body, twice = segments(data, offsets, length)
+            row, first, end, seed, twice = segments(data, offsets, length, level)
             if len(row):
-                whole = Rolling(data)(offsets[:-1], offsets[1:])
+                view = memoryview(data)
+                body = np.fromiter((xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(first.tolist(), (end + length - 1).tolist())), np.uint64, len(row))
+                at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), pa.array(signed(whole[row])), pa.array((first - offsets[row]).astype(np.int32)), pa.array((end - first).astype(np.int32)), pa.array(signed(seed)), pa.array(signed(body)), pa.array(twice)],
-                    ["_key", "whole", "first", "starts", "seed", "body", "twice"],
+                    [*(batch.column(k).take(at) for k in range(4)), pa.array((first - offsets[row]).astype(np.int32)), pa.array((end - first).astype(np.int32)), pa.array(signed(seed)), pa.array(signed(body)), pa.array(twice)],
+                    ["a", "b", "c", "n", "first", "starts", "seed", "body", "twice"],
                 )
 
-    found = materialize(rows.mapInArrow(cut, "_key string, whole long, first int, starts int, seed long, body long, twice boolean"), "segments")
-    seeds = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("again")).filter("n > 1 OR again").select("seed")
+    found = materialize(docs.select("a", "b", "c", "n", "text").mapInArrow(cut, "a string, b long, c long, n int, first int, starts int, seed long, body long, twice boolean"), "segments")
+    seeds = found.groupBy("seed").agg(F.sum("n").alias("m"), F.max("twice").alias("again")).filter("m > 1 OR again").select("seed")
     held = materialize(found.join(seeds, "seed"), "candidates")
-    distinct = held.groupBy("seed", "body", "starts").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_key", "whole", "first")).alias("at"))
+    distinct = materialize(held.groupBy("seed", "body", "starts").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "c", "first")).alias("at")), "distinct")
     # A seed whose segments are all copies of one text needs no index: every start repeats.
-    distinct = materialize(distinct, "distinct")
-    alone = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("texts"), F.min("n").alias("copies")).filter("texts = 1 AND copies > 1").select("seed")
-    copies = distinct.join(alone, "seed").select("seed", "body", "starts", F.array(F.struct(F.lit(0).alias("s"), F.col("starts").alias("e"))).alias("ranges"))
-    distinct = distinct.join(alone, "seed", "left_anti")
-    wanted = distinct.select(F.col("at._key").alias("_key"), F.col("at.whole").alias("whole"), F.struct(F.col("at.first").alias("first"), "starts", "seed", "body", F.least("n", F.lit(2)).cast("int").alias("n")).alias("piece"))
-    wanted = wanted.groupBy("_key", "whole").agg(F.collect_list("piece").alias("pieces"))  # within one document
+    size = F.sum(F.col("starts") + length - 1)
+    kinds = distinct.groupBy("seed").agg(F.when((F.count(F.lit(1)) == 1) & (F.min("n") > 1), "copies").when((size > HOT_BYTES) & F.lit(level < LEVELS), "hot").otherwise("index").alias("kind"), size.alias("bytes"))
+    kinds = materialize(kinds, "kinds")
+    totals = {r["kind"]: r["bytes"] for r in kinds.groupBy("kind").agg(F.sum("bytes").alias("bytes")).collect()}  # three rows at most
+    distinct = distinct.join(kinds.select("seed", "kind"), "seed")
+    marked = distinct.filter("kind = 'copies'").select("seed", "body", "starts", F.array(F.struct(F.lit(0).alias("s"), F.col("starts").alias("e"))).alias("ranges"))
+
+    def texts(kind: str) -> DataFrame:
+        """One text of each distinct segment."""
+        wanted = distinct.filter(F.col("kind") == kind).select("at.a", "at.b", "at.c", F.struct(F.col("at.first").alias("first"), "starts", "seed", "body", F.least("n", F.lit(2)).cast("int").alias("n")).alias("piece"))
+        wanted = materialize(wanted.groupBy("a", "b", "c").agg(F.collect_list("piece").alias("pieces")), "wanted")  # within one document
+        some = may_hold(docs.select("a", "b", "c", "text"), wanted.select("b"), "b").filter("_may").drop("_may")
+        wanted = wanted.select(F.col("a").alias("wanted_a"), F.col("b").alias("wanted_b"), F.col("c").alias("wanted_c"), "pieces")
+        return some.join(wanted, F.expr("a <=> wanted_a AND b = wanted_b AND c = wanted_c")).select("a", "b", "c", "text", "pieces").mapInArrow(fetch, "seed long, body long, starts int, n int, bytes binary")
 
     def fetch(batches):
+        last = None
         for batch, data, offsets in pieces(batches, "text"):
-            whole = signed(Rolling(data)(offsets[:-1], offsets[1:])).tolist()
-            lists, known = batch.column(batch.schema.get_field_index("pieces")).to_pylist(), batch.column(batch.schema.get_field_index("whole")).to_pylist()
-            raw = data.tobytes()
-            out: dict[str, list] = {k: [] for k in ("seed", "body", "starts", "n", "bytes")}
-            for r, some in enumerate(lists):
-                if whole[r] == known[r]:
-                    for p in some:
-                        a = int(offsets[r]) + p["first"]
-                        for k in ("seed", "body", "starts", "n"):
-                            out[k].append(p[k])
-                        out["bytes"].append(raw[a : a + p["starts"] + length - 1])
+            names = [x.as_py() for x in pa.StructArray.from_arrays([batch.column(k) for k in range(3)], ["a", "b", "c"])]
+            raw, out = data.tobytes(), {k: [] for k in ("seed", "body", "starts", "n", "bytes")}
+            for name, begin, some in zip(names, offsets.tolist(), batch.column(4).to_pylist()):
+                if name == last:  # a repeated row
+                    continue
+                last = name
+                for p in some:
+                    for k in ("seed", "body", "starts", "n"):
+                        out[k].append(p[k])
+                    out["bytes"].append(raw[begin + p["first"] : begin + p["first"] + p["starts"] + length - 1])
             yield pa.RecordBatch.from_pydict({"seed": pa.array(out["seed"], pa.int64()), "body": pa.array(out["body"], pa.int64()), "starts": pa.array(out["starts"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "bytes": pa.array(out["bytes"], pa.binary())})
 
-    piece_schema = "seed long, body long, starts int, n int, bytes binary"
-    wanted = materialize(wanted, "wanted")
-    some = may_hold(rows, wanted.select("_key"), "_key").filter("_may").drop("_may")
-    texts = some.join(wanted, some["_key"].eqNullSafe(wanted["_key"])).select("text", "whole", "pieces").mapInArrow(fetch, piece_schema)
-    total = distinct.agg(F.coalesce(F.sum(F.col("starts") + length - 1), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("c")).first()
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, -(-total["b"] // (4 * index_bytes)))
-    texts = texts.repartition(parts, "seed").sortWithinPartitions("seed", "body", "starts")
-
     def index(batches):
         held, size, seed = [], 0, None
 
-        def solve(group):
-            """Ranges for each segment of a group; a group too large for one index is cut by other seeds."""
-            if sum(len(g["bytes"]) for g in group) <= 4 * index_bytes:
-                return repeated_starts([g["bytes"] for g in group], [g["n"] for g in group], length)
-            return _by_further_seeds([g["bytes"] for g in group], [g["n"] for g in group], length, index_bytes)
-
         def finish():
             unique: dict[tuple, dict] = {}
-            for g in held:  # a repeated row brings its segments more than once
+            for g in held:  # a repeated row may bring its segments more than once
                 unique.setdefault((g["seed"], g["body"], g["starts"]), g)
             group = list(unique.values())
-            ranges = solve(group)
+            bodies, counts = [g["bytes"] for g in group], [g["n"] for g in group]
+            ranges = repeated_starts(bodies, counts, length) if sum(map(len, bodies)) <= 4 * index_bytes else _by_further_seeds(bodies, counts, length, index_bytes, level + 1)
             some = [(g, r) for g, r in zip(group, ranges) if r]
             return pa.RecordBatch.from_pydict({"seed": pa.array([g["seed"] for g, _ in some], pa.int64()), "body": pa.array([g["body"] for g, _ in some], pa.int64()), "starts": pa.array([g["starts"] for g, _ in some], pa.int32()), "ranges": pa.array([[{"s": a, "e": b} for a, b in r] for _, r in some], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))})
 
@@ -275,18 +270,56 @@ def find_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", leng
         if held:
             yield finish()
 
-    marked = materialize(texts.mapInArrow(index, f"seed long, body long, starts int, ranges {SPANS}"), "ranges")
-    marked = marked.union(copies)
-    runs = held.join(marked, ["seed", "body", "starts"]).select("_key", "whole", F.explode("ranges").alias("r"), "first")
-    runs = runs.select("_key", "whole", (F.col("first") + F.col("r.s")).alias("s"), (F.col("first") + F.col("r.e") + (length - 1)).alias("e"))
+    if "index" in totals:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals["index"] // (4 * index_bytes)))
+        grouped = texts("index").repartition(parts, "seed").sortWithinPartitions("seed", "body", "starts")
+        marked = marked.union(materialize(grouped.mapInArrow(index, f"seed long, body long, starts int, ranges {SPANS}"), "ranges"))
+    if "hot" in totals:
+        again = texts("hot").select(F.col("seed").cast("string").alias("a"), F.col("body").alias("b"), F.col("starts").cast("long").alias("c"), "n", F.col("bytes").alias("text"))
+        again = _find(materialize(again.dropDuplicates(["a", "b", "c"]), "hot"), length, index_bytes, level + 1)
+        marked = marked.union(again.select(F.col("a").cast("long").alias("seed"), F.col("b").alias("body"), F.col("c").cast("int").alias("starts"), "ranges"))
+    runs = held.join(marked, ["seed", "body", "starts"]).select("a", "b", "c", F.explode("ranges").alias("r"), "first")
     # Within one document; identical rows bring equal runs, which sets hold once.
-    runs = runs.groupBy("_key", "whole").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("runs"))
-    by_key = materialize(runs.groupBy("_key").agg(F.collect_list(F.struct("whole", "runs")).alias("_runs")), "runs")
-    keyed = may_hold(df.withColumn("_key", F.col(key).cast("string")), by_key.select("_key"), "_key")
-    some = keyed.filter("_may")
-    some = some.join(by_key, some["_key"].eqNullSafe(by_key["_key"]), "left").select(*[some[c] for c in names], "_runs")
-    # Rows without repeats are not shuffled.
-    return some.union(keyed.filter("NOT _may").select(*names, F.lit(None).cast(by_key.schema["_runs"].dataType).alias("_runs")))
+    return runs.groupBy("a", "b", "c").agg(F.sort_array(F.collect_set(F.struct((F.col("first") + F.col("r.s")).alias("s"), (F.col("first") + F.col("r.e")).alias("e")))).alias("ranges"))
+
+
+def _named(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``df`` as (row, text, a, b, c, n): all its columns in one struct, so that none can clash, and the names of its rows."""
+    row = F.struct(*[F.col(f"`{x}`") for x in df.columns])
+    return df.select(row.alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").cast("string").alias("a"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("b"), F.lit(0).cast("long").alias("c"), F.lit(1).alias("n"))
+
+
+def _with(rows: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """The rows with ``columns`` of ``found``, by a and b; null where there is none. Rows without are not shuffled."""
+    marked = may_hold(rows, found.select("b"), "b")
+    found = found.select(F.col("a").alias("found_a"), F.col("b").alias("found_b"), *columns)
+    some = marked.filter("_may").join(found, F.expr("a <=> found_a AND b = found_b"), "left").select(*rows.columns, *columns)
+    return some.union(marked.filter("NOT _may").select(*rows.columns, *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in columns]))
+
+
+def _spans(ranges: DataFrame, length: int, into: str = "spans") -> DataFrame:
+    """Ranges of starts as the bytes that their strings cover."""
+    covered = F.transform("ranges", lambda r: F.struct(r["s"].alias("s"), (r["e"] + F.lit(length - 1)).cast("int").alias("e")))
+    return materialize(ranges.select("a", "b", covered.alias(into)), "runs")
+
+
+def find_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, index_bytes: int = INDEX_BYTES, into: str = "spans") -> DataFrame:
+    """For each row of ``df`` all its columns and ``into``: runs of bytes covered by a ``length``-byte string that also starts elsewhere (in order; they may touch or overlap; null or empty for none).
+
+    Strings that are equal share their least seed hash, so starts are cut into segments by it; seeds that occur
+    once drop out after a partial count. Of the others every distinct segment text goes into one index of its
+    hash range, where a run-length BWT with sampled run ends yields matching statistics. Seeds with more distinct
+    text than HOT_BYTES are cut again by other seed hashes, in tables, and copies collapse each time, so one
+    passage in very many documents costs one copy. A seed with one distinct segment that occurs more than once
+    is marked by its count alone.
+
+    Null texts are empty. Documents under null or repeated keys count as documents of their own: rows with equal
+    key and text get equal spans. Extra columns pass through whatever their names; one called ``into`` is replaced.
+    A text is held whole in one task, with some 40 bytes of work space for each of its bytes.
+    """
+    rows = _named(df, key, text)
+    found = _spans(_find(rows, length, index_bytes), length)
+    return _with(rows.select("row", "a", "b"), found, "spans").select(*[F.col(f"row.`{c}`") for c in df.columns if c.lower() != into.lower()], F.col("spans").alias(into))
 
 
 def _by_further_seeds(texts: list[bytes], counts: list[int], length: int, limit: int, level: int = 1) -> list[list[tuple[int, int]]]:
@@ -294,7 +327,7 @@ def _by_further_seeds(texts: list[bytes], counts: list[int], length: int, limit:
     groups: dict[int, dict[bytes, list]] = {}
     for t, text in enumerate(texts):
         data = np.frombuffer(text, np.uint8)
-        _, first, end, seed, _, _ = segments(data, np.array([0, len(data)]), length, level)
+        _, first, end, seed, _ = segments(data, np.array([0, len(data)]), length, level)
         for a, b, s in zip(first.tolist(), end.tolist(), seed.tolist()):
             groups.setdefault(s, {}).setdefault(text[a : b + length - 1], []).append((t, a))
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -331,16 +364,6 @@ def _merge(runs) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _rows(batches):
-    """(slice, raw bytes, offsets, merged spans of each row)."""
-    for batch, data, offsets in pieces(batches, "text"):
-        whole = signed(Rolling(data)(offsets[:-1], offsets[1:])).tolist()
-        spans = []
-        for w, lists in zip(whole, batch.column(batch.schema.get_field_index("_runs")).to_pylist()):
-            spans.append(next((_merge(x["runs"]) for x in lists or () if x["whole"] == w), []))
-        yield batch, data.tobytes(), offsets.tolist(), spans
-
-
 def _kept(raw: bytes, a: int, b: int, spans: list[tuple[int, int]]) -> bytes:
     at, out = a, []
     for s, e in spans:
@@ -349,36 +372,85 @@ def _kept(raw: bytes, a: int, b: int, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:b]])
 
 
-def repeat_report(df: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is kept, for each row of ``df``."""
+def _size(spans: list[tuple[int, int]]) -> int:
+    return sum(e - s for s, e in spans)
+
+
+def repeat_report(df: DataFrame, *, length: int = LENGTH, passage: int = PASSAGE, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is kept, for each row of ``df``; n_passage counts the bytes that repeated strings of ``passage`` bytes cover.
+
+    A repeated string of ``length`` bytes lies in runs of repeated strings of ``passage`` bytes (not the longer), so
+    one index over all texts finds those, and a second one over nothing but the runs finds the others. Null and
+    empty texts have no bytes; null or repeated doc_ids and extra columns do no harm; an empty table gives no rows.
+    """
+    if not 0 < passage <= length:
+        raise ValueError("a passage must not be longer than the strings that are removed")
+    rows = _named(df.select("doc_id", "text"), "doc_id", "text")
+    short = _spans(_find(rows, passage, index_bytes), passage)
+
+    def inner(batches):
+        """The runs of at least ``length`` bytes, as texts of their own."""
+        for batch, data, offsets in pieces(batches, "text"):
+            raw, row, at, text = data.tobytes(), [], [], []
+            for i, (begin, spans) in enumerate(zip(offsets.tolist(), batch.column(3).to_pylist())):
+                for s, e in _merge(spans or ()):
+                    if e - s >= length:
+                        row.append(i)
+                        at.append(s)
+                        text.append(raw[begin + s : begin + e])
+            some = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(at, pa.int64()), pa.array(text, pa.binary())], ["a", "b", "c", "text"])
+
+    both = _with(rows.select("row", "text", "a", "b"), short, "spans")
+    runs = both.filter("spans IS NOT NULL").select("a", "b", "text", "spans").mapInArrow(inner, "a string, b long, c long, text binary").withColumn("n", F.lit(1))
+    long = _find(materialize(runs, "inner"), length, index_bytes)
+    placed = F.transform("ranges", lambda r: F.struct((r["s"] + F.col("c")).cast("int").alias("s"), (r["e"] + F.col("c")).cast("int").alias("e")))
+    long = _spans(long.withColumn("ranges", placed).groupBy("a", "b").agg(F.sort_array(F.flatten(F.collect_list("ranges"))).alias("ranges")), length, "removed")
+
     def report(batches):
-        for batch, raw, offsets, spans in _rows(batches):
+        for batch, data, offsets in pieces(batches, "text"):
+            raw, cuts = data.tobytes(), offsets.tolist()
+            passages, removed = ([_merge(x or ()) for x in batch.column(k).to_pylist()] for k in (2, 3))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(batch.schema.get_field_index("doc_id")),
+                "doc_id": batch.column(0),
                 "n_bytes": pa.array(np.diff(offsets), pa.int64()),
-                "n_removed": pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()),
-                "n_spans": pa.array([len(x) for x in spans], pa.int64()),
-                "kept_sha256": [hashlib.sha256(_kept(raw, a, b, x)).hexdigest() for a, b, x in zip(offsets, offsets[1:], spans)],
+                "n_removed": pa.array([_size(x) for x in removed], pa.int64()),
+                "n_spans": pa.array([len(x) for x in removed], pa.int64()),
+                "kept_sha256": [hashlib.sha256(_kept(raw, a, b, x)).hexdigest() for a, b, x in zip(cuts, cuts[1:], removed)],
+                "n_passage": pa.array([_size(x) for x in passages], pa.int64()),
             })
 
-    found = find_repeats(df.select("doc_id", "text"), **options)
-    return found.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    long = long.select(F.col("a").alias("long_a"), F.col("b").alias("long_b"), "removed")
+    found = short.join(long, F.expr("a <=> long_a AND b = long_b"), "left").select("a", "b", "spans", "removed")
+    found = _with(rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "a", "b"), found, "spans", "removed")
+    return found.select("doc_id", "text", "spans", "removed").mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long")
+
 
+def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", chars: str | None = "n_chars", length: int = LENGTH, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of ``df`` with the repeated runs cut out of their texts, and ``chars`` set anew where it is a column. Characters that a run's end would split go too.
+
+    Null texts stay null, and a text that is one repeat becomes empty; rows are neither lost nor added, whatever their
+    keys. Extra columns pass through whatever their names. An empty table gives an empty table.
+    """
+    rows = _named(df, key, text)
+    found = _with(rows.select("row", "text", "a", "b"), _spans(_find(rows, length, index_bytes), length), "spans").select("row", "text", "spans")
 
-def remove_repeats(df: DataFrame, *, text: str = "text", chars: str | None = "n_chars", **options) -> DataFrame:
-    """The rows of ``df`` with the repeated runs cut out of their texts, and ``chars`` set anew where it is a column. Characters that a run's end would split go too; null texts stay null."""
     def cut(batches):
-        for batch, raw, offsets, spans in _rows(batches):
-            at = batch.schema.get_field_index("text")
-            old = batch.column(at)
-            kept = [_kept(raw, a, b, x).decode(errors="ignore") if x else old[i].as_py() for i, (a, b, x) in enumerate(zip(offsets, offsets[1:], spans))]
-            columns = [pa.array(kept, pa.string()) if k == at else c for k, c in enumerate(batch.columns)][:-1]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
-
-    out = find_repeats(df, text=text, **options).mapInArrow(cut, df.schema)
-    if chars in df.columns:
-        out = out.withColumn(chars, F.coalesce(F.length(text).cast(df.schema[chars].dataType), F.col(chars)))
-    return out.select(df.columns)
+        for batch, data, offsets in pieces(batches, "text"):
+            raw, cuts, old = data.tobytes(), offsets.tolist(), batch.column(1)
+            kept = [_kept(raw, a, b, _merge(x)).decode(errors="ignore") if x else old[i].as_py() for i, (a, b, x) in enumerate(zip(cuts, cuts[1:], batch.column(2).to_pylist()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["row", "text"])
+
+    out = found.mapInArrow(cut, StructType([found.schema["row"], StructField("text", StringType())]))
+
+    def column(name: str) -> F.Column:
+        if name == text:
+            return F.col("text").alias(name)
+        if name == chars:
+            return F.coalesce(F.length("text").cast(df.schema[name].dataType), F.col(f"row.`{name}`")).alias(name)
+        return F.col(f"row.`{name}`")
+
+    return out.select(*[column(c) for c in df.columns])
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

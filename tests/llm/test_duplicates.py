@@ -83,14 +83,20 @@ def test_forest_reaches_its_recall():
     assert hits >= 298
 
 
-def brute_repeats(rows, length):
+def covered(rows, length):
+    """For each text a mark for each byte that a repeated string covers."""
     seen = Counter(b[s : s + length] for b in rows for s in range(len(b) - length + 1))
-    out = []
     for b in rows:
         mark = bytearray(len(b))
         for s in range(len(b) - length + 1):
             if seen[b[s : s + length]] > 1:
                 mark[s : s + length] = b"\1" * length
+        yield mark
+
+
+def brute_repeats(rows, length):
+    out = []
+    for b, mark in zip(rows, covered(rows, length)):
         kept = bytes(x for x, m in zip(b, mark) if not m)
         spans = sum(1 for k in range(len(b)) if mark[k] and (k == 0 or not mark[k - 1]))
         out.append((len(b), sum(mark), spans, hashlib.sha256(kept).hexdigest()))
@@ -106,25 +112,39 @@ def passages(seed):
     return texts
 
 
-def test_repeats_against_brute_force(spark):
+def test_repeats_against_brute_force(spark, monkeypatch):
     texts = passages(6)
-    rows = [(i, t) for i, t in enumerate(texts)] + [(None, None), (None, texts[0]), (3, texts[3])]
-    found = rp.repeat_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    expected = brute_repeats([(t or "").encode() for _, t in rows], 400)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, None), (None, texts[0]), (None, texts[0]), (3, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = rp.repeat_report(docs).collect()
+    raw = [(t or "").encode() for _, t in rows]
+    expected = [(*e, sum(m)) for e, m in zip(brute_repeats(raw, 400), covered(raw, rp.PASSAGE))]
     key = lambda x: (x[0] is None, *map(str, x))
-    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found), key=key) == sorted(((i, *e) for (i, _), e in zip(rows, expected)), key=key)
-    small = rp.repeat_report(spark.createDataFrame(rows, "doc_id long, text string"), index_bytes=3000).collect()  # many indexes, seeds cut again
+    assert sorted(map(tuple, found), key=key) == sorted(((i, *e) for (i, _), e in zip(rows, expected)), key=key)
+    monkeypatch.setattr(rp, "HOT_BYTES", 2000)  # seeds cut again in tables, and many indexes
+    small = rp.repeat_report(docs, index_bytes=3000).collect()
+    assert sorted(map(str, small)) == sorted(map(str, found))
+    monkeypatch.setattr(rp, "LEVELS", 0)  # and within their tasks
+    small = rp.repeat_report(docs, index_bytes=1000).collect()
     assert sorted(map(str, small)) == sorted(map(str, found))
     assert rp.repeat_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_removed_runs_leave_the_rest(spark):
     texts = passages(8)
-    docs = spark.createDataFrame([(i, t, "s", len(t)) for i, t in enumerate(texts)] + [(99, None, "s", 0)], "doc_id long, text string, _key string, n_chars long")
-    out = {r.doc_id: r for r in rp.remove_repeats(docs).collect()}
-    assert len(out) == len(texts) + 1 and out[99].text is None
-    for (i, t), (_, removed, _, _) in zip(enumerate(texts), brute_repeats([t.encode() for t in texts], 400)):
-        assert (out[i].text == t) == (removed == 0) and out[i].n_chars == len(out[i].text)
+    extra = ["_key", "_word", "_mask", "_spot", "_may", "_runs", "seed", "row", "a", "b", "c", "n", "spans", "Body"]
+    docs = spark.createDataFrame([(i, t, len(t), *[f"{x}{i}" for x in extra]) for i, t in enumerate(texts)] + [(99, None, 0, *extra)], "doc_id long, text string, n_chars long, " + ", ".join(f"{x} string" for x in extra))
+    for length in (400, rp.PASSAGE):
+        out = rp.remove_repeats(docs, length=length)
+        assert out.columns == docs.columns
+        out = {r.doc_id: r for r in out.collect()}
+        assert len(out) == len(texts) + 1 and out[99].text is None
+        for (i, t), mark in zip(enumerate(texts), covered([t.encode() for t in texts], length)):
+            assert out[i].text == bytes(x for x, m in zip(t.encode(), mark) if not m).decode(errors="ignore")
+            assert out[i].n_chars == len(out[i].text) and [out[i][x] for x in extra] == [f"{x}{i}" for x in extra]
+    spans = rp.find_repeats(docs).collect()
+    assert {r.doc_id: r["_key"] for r in spans if r.doc_id < 99} == {i: f"_key{i}" for i in range(len(texts))} and any(r.spans for r in spans)
+    assert rp.remove_repeats(docs.limit(0)).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -154,7 +174,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     item = "the quick brown fox jumps over the lazy dog while seven wizards boil quarts of nitrogen under a cold moon"
     word = lambda: "".join(r.choice("aeioutnsrh") for _ in range(r.randint(2, 8)))
     prose = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
-    passage = prose(120)
+    passage = " ".join(prose(120).split()[:51])  # some 300 bytes
     texts = [prose(r.randint(60, 200)) for _ in range(150)]
     texts += [t for t in texts[:15]] + [f"{prose(80)} {passage} {prose(60)}" for _ in range(8)] + [f"{prose(60)} {item} {prose(60)}" for _ in range(6)]
     texts += [" ".join(word().upper() + "!!" for _ in range(80)) for _ in range(40)]
@@ -166,13 +186,6 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
 
     rows = [(i, t) for i, t in enumerate(texts) if not t.isupper()]
     rows = [(i, t) for (i, t), (_, c, _) in zip(rows, brute_classes(rows)) if c == i]
-    seen = Counter(t[s : s + 400] for _, t in rows for s in range(len(t) - 399))
-    left = []
-    for i, t in rows:
-        mark = bytearray(len(t))
-        for s in range(len(t) - 399):
-            if seen[t[s : s + 400]] > 1:
-                mark[s : s + 400] = b"\1" * 400
-        left.append((i, "".join(c for c, m in zip(t, mark) if not m)))
+    left = [(i, "".join(c for c, m in zip(t, mark) if not m)) for (i, t), mark in zip(rows, covered([t for _, t in rows], rp.PASSAGE))]
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert result == {i: library.encode(t) for i, t in left if item not in t}
