@@ -17,21 +17,31 @@ THRESHOLD = 0.8
 TREES = 24
 MAX_DEPTH = 8
 TARGET_RECALL = 0.9999
-#: Shingles that one side of a verification task holds.
+#: Shingles, and texts, that one side of a verification task holds.
 BLOCK_SHINGLES = 600_000
+BLOCK_MEMBERS = 4_000
 #: Cells of one dense incidence slice.
 DENSE_CELLS = 4_000_000
+#: Rows of a sorted trie that are walked at once.
+WALK_ROWS = 1 << 18
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SIGN = np.uint64(1 << 63)
 
 
-def forest_depth(trees: int = TREES, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, longest: int = MAX_DEPTH) -> int:
-    """The prefix length at which shortening stops: the longest that finds a pair at the threshold with the target recall."""
+def forest_depth(similarity: float = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL, longest: int = MAX_DEPTH) -> int:
+    """Where shortening stops: the longest prefix by which a pair of that similarity is found with the target recall."""
     depth = longest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
+def least_similarity(size: int, threshold: float = THRESHOLD) -> float:
+    """The least similarity from ``threshold`` on that a set of ``size`` can have with another, different set; 1 if there is none."""
+    found = [common / (size + other - common) for other in range(max(1, int(threshold * size)), int(size / threshold) + 2) for common in range(1, min(size, other) + 1)]
+    return min((x for x in found if threshold - 1e-9 <= x < 1), default=1.0)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct hashes of each row's ``n``-word shingles. Rows of 1 to n-1 words have one shingle, all their words; rows without words none."""
     starts, ends, row = words(data, offsets)
@@ -58,11 +68,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> list[
 class Forest:
     """Signatures by one-permutation hashing, arranged as ``trees`` label strings of ``longest`` values."""
 
-    def __init__(self, trees: int, longest: int):
+    def __init__(self, trees: int, longest: int = MAX_DEPTH):
         self.trees, self.longest, self.bins = trees, longest, trees * longest
         self.detours = (mix(np.arange(self.bins * 24, dtype=np.uint64) + np.uint64(7)) % np.uint64(self.bins)).astype(np.int64).reshape(24, self.bins)
-        self.odd = mix(np.arange(1, longest + 1, dtype=np.uint64)) | np.uint64(1)
-        self.seed = mix(np.arange(100, 100 + trees, dtype=np.uint64))
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         at = ((shingles >> np.uint64(32)) * np.uint64(self.bins) >> np.uint64(32)).astype(np.int64)
@@ -84,10 +92,37 @@ class Forest:
             out = out[source]
         return mix(out)
 
-    def prefixes(self, signature: np.ndarray, depth: int) -> np.ndarray:
-        """The trees' label prefixes of one length, as hashes that differ between trees."""
-        labels = signature.reshape(self.trees, self.longest)[:, :depth]
-        return mix((labels * self.odd[:depth]).sum(1, dtype=np.uint64) + self.seed)
+    def labels(self, signature: np.ndarray) -> np.ndarray:
+        """(trees, 2) numbers: a tree's label string, four labels of 16 bits in each number, the first label on top. Their order is the trie's."""
+        parts = (signature >> np.uint64(48)).reshape(self.trees, 2, 4) << np.array([48, 32, 16, 0], np.uint64)
+        return np.bitwise_or.reduce(parts, 2)
+
+
+def shared_labels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many labels from the first on are equal, for rows of two numbers each."""
+    x = a ^ b
+    equal = (x < np.uint64(1 << 48)).astype(np.int8) + (x < np.uint64(1 << 32)) + (x < np.uint64(1 << 16)) + (x == 0)
+    return np.where(equal[:, 0] == 4, 4 + equal[:, 1], equal[:, 0])
+
+
+def climb(tree: np.ndarray, keys: np.ndarray, depth: np.ndarray, longest: int = MAX_DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (position, position of the least of its node) of records in trie order, from the longest prefixes upwards.
+
+    At each length the records that still shorten are those whose ``depth`` is not longer. Those that share a prefix of the length
+    are linked to its first one; of a node that was linked under a longer prefix only its first record is linked on.
+    """
+    heads = np.arange(len(tree))
+    for level in range(longest, int(depth.min()) - 1 if len(depth) else longest, -1):
+        at = np.flatnonzero(depth <= level)
+        if len(at) < 2:
+            continue
+        same = (tree[at][1:] == tree[at][:-1]) & (shared_labels(keys[at][1:], keys[at][:-1]) >= level)
+        first = heads[at[np.maximum.accumulate(np.where(np.concatenate(([False], same)), 0, np.arange(len(at))))]]
+        new = np.concatenate(([False], same)) & (heads[at] != first)
+        # A record's node is named by its head; nodes that meet keep the first one's.
+        lower = np.unique(heads[at[new]])
+        yield lower, first[new][np.unique(heads[at[new]], return_index=True)[1]]
+        heads[at] = first
 
 
 def fingerprint(shingles: np.ndarray) -> bytes | None:
@@ -159,40 +194,85 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", n
     named by its least key; n_links counts the other rows that a row is linked to, copies included.
 
     1. Rows with equal shingle sets collapse into one representative with a weight.
-    2. A representative's signature gives one label string for each tree. Prefixes are shortened from
-       MAX_DEPTH until the expected recall of a pair at the threshold reaches ``recall``; equal prefixes
-       of that length link a bucket's members to its least member (a star, never all pairs).
+    2. A representative's signature gives one label string for each tree. Range-partitioned and sorted, the
+       strings of a tree are its prefix trie. A record climbs from its longest matched prefix to shorter ones until
+       the expected recall of a partner of the least similarity that its size admits reaches ``recall``; at each
+       length it is linked to the first record of its node (a star, never all pairs).
     3. The stars' components are families. All pairs inside a family are compared exactly, in
        blocks of bounded size and without emitting a row for a pair.
 
     Null or empty texts have no shingles: they are classes of their own with no links. Null keys get the class of
     their text (a class of null keys only has a null class_id). Repeated rows are copies. Extra columns are ignored.
+    A text is held whole in one task, with some 60 bytes of work space for each of its bytes.
     """
-    depth, longest = forest_depth(trees, threshold, recall), MAX_DEPTH
-    signed_schema = "doc_id long, fp binary, n_shingles long, prefixes array<long>"
+    longest = MAX_DEPTH
+    floor = forest_depth(threshold, trees, recall, longest)
+    depths = np.array([longest] + [forest_depth(least_similarity(k, threshold), trees, recall, longest) for k in range(1, 64)] + [floor], np.int8)
+    signed_schema = "doc_id long, fp binary, n_shingles long, labels binary"
 
     def sign(batches):
         forest = Forest(trees, longest)
         for batch, data, offsets in pieces(batches, "text"):
             sets = shingle_sets(data, offsets, n)
-            keys = [signed(forest.prefixes(forest.signature(s), depth)) if len(s) else np.zeros(0, np.int64) for s in sets]
-            ends = np.cumsum([0, *map(len, keys)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))],
-                ["doc_id", "fp", "n_shingles", "prefixes"],
-            )
+            labels = [forest.labels(forest.signature(s)).tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(labels, pa.binary())], ["doc_id", "fp", "n_shingles", "labels"])
 
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     marks = materialize(rows.mapInArrow(sign, signed_schema), "signatures")
-    reps = marks.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("prefixes").alias("prefixes"))
+    reps = marks.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("labels").alias("labels"))
     reps = materialize(reps, "representatives")
 
-    tries = reps.select("fp", F.explode("prefixes").alias("prefix"))
-    buckets = tries.groupBy("prefix").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("prefix", "least")
-    stars = tries.join(buckets, "prefix").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    def plant(batches):
+        """A row for each tree: label strings as signed numbers, whose order is the same."""
+        for batch in batches:
+            raw = batch.column(1)
+            keys = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(-1, 2) ^ _SIGN
+            at = pa.array(np.repeat(np.arange(batch.num_rows), trees))
+            depth = depths[np.minimum(batch.column(2).to_numpy(), len(depths) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int16), batch.num_rows)), pa.array(signed(np.ascontiguousarray(keys[:, 0]))), pa.array(signed(np.ascontiguousarray(keys[:, 1]))), batch.column(0).take(at), pa.array(np.repeat(depth, trees).astype(np.int16))], ["tree", "high", "low", "fp", "depth"])
+
+    at_once = WALK_ROWS
+
+    def walk(batches):
+        """Links inside a sorted part of the tries (v not null), and at its end the first and last record of each depth (v null)."""
+        held, size, first, last = [], 0, {}, {}
+
+        def links():
+            table = pa.Table.from_batches([*last.values(), *held]).combine_chunks()
+            if last:  # what is carried over came before, in this order
+                table = table.sort_by([(c, "ascending") for c in ("tree", "high", "low", "fp")])
+            tree, depth, fp = table["tree"].to_numpy(), table["depth"].to_numpy(), table["fp"].combine_chunks()
+            keys = np.stack((table["high"].to_numpy().view(np.uint64), table["low"].to_numpy().view(np.uint64)), 1) ^ _SIGN
+            for k in np.unique(depth).tolist():
+                at = np.flatnonzero(depth == k)
+                first.setdefault(k, table.slice(at[0], 1).to_batches()[0])
+                last[k] = table.slice(at[-1], 1).to_batches()[0]
+            for u, v in climb(tree, keys, depth, longest):
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([fp.take(pa.array(u)), fp.take(pa.array(v)), *[pa.nulls(len(u), t) for t in (pa.int16(), pa.int64(), pa.int64(), pa.int16())]], ["fp", "v", "tree", "high", "low", "depth"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= at_once:
+                yield from links()
+                held, size = [], 0
+        if held:
+            yield from links()
+        for b in [*first.values(), *last.values()]:
+            yield pa.RecordBatch.from_arrays([b["fp"], pa.nulls(1, pa.binary()), b["tree"], b["high"], b["low"], b["depth"]], ["fp", "v", "tree", "high", "low", "depth"])
+
+    order = ["tree", "high", "low", "fp"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    walk_schema = "fp binary, v binary, tree short, high long, low long, depth short"
+    tries = reps.select("fp", "labels", "n_shingles").mapInArrow(plant, "tree short, high long, low long, fp binary, depth short")
+    walked = materialize(tries.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(walk, walk_schema), "walked")
+    # Where partitions meet, their outermost records (some of each depth) are walked once more.
+    edges = walked.filter("v IS NULL").select("tree", "high", "low", "fp", "depth").distinct().repartition(1).sortWithinPartitions(*order).mapInArrow(walk, walk_schema)
+    stars = walked.filter("v IS NOT NULL").select(F.col("fp").alias("u"), "v").union(edges.filter("v IS NOT NULL").select("fp", "v"))
     families = components(stars).select(F.col("node").alias("fp"), F.col("root").alias("family"))
-    families = families.join(reps.drop("prefixes"), "fp")
-    spread = families.groupBy("family").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("blocks"))
+    families = families.join(reps.drop("labels"), "fp")
+    spread = families.groupBy("family").agg(F.ceil(F.greatest(F.sum("n_shingles") / block_shingles, F.count(F.lit(1)) / BLOCK_MEMBERS)).cast("int").alias("blocks"))
     families = materialize(families.join(spread, "family").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")), "families")
 
     member_schema = "fp binary, family binary, weight long, blocks int, block int, shingles array<long>"
@@ -215,7 +295,6 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", n
     # A member meets every block of its family: with b blocks that is b rows for it, each of a bounded task.
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = held.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "block", "fp")
 
     def verify(batches):

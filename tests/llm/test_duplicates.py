@@ -54,9 +54,11 @@ def near_copies(seed, n=160):
     return rows
 
 
-def test_classes_against_brute_force(spark):
+def test_classes_against_brute_force(spark, monkeypatch):
     key = lambda x: (x[0] is None, x[0] or 0, x[1] or 0, x[2])
-    for seed, block in ((1, nd.BLOCK_SHINGLES), (2, 300)):  # the second splits families into blocks
+    for seed, block, members, rows_at_once in ((1, nd.BLOCK_SHINGLES, nd.BLOCK_MEMBERS, nd.WALK_ROWS), (2, 300, 5, 50)):  # the second splits families into blocks, and tries into short walks
+        monkeypatch.setattr(nd, "BLOCK_MEMBERS", members)
+        monkeypatch.setattr(nd, "WALK_ROWS", rows_at_once)
         rows = near_copies(seed) + [(900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "one two"), (None, "one two"), (5, near_copies(seed)[5][1])]
         found = nd.near_duplicates(spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA), block_shingles=block).collect()
         assert sorted(((r.doc_id, r.class_id, r.n_links) for r in found), key=key) == sorted(brute_classes(rows), key=key)
@@ -71,16 +73,49 @@ def test_one_of_each_class_stays(spark):
 
 
 def test_forest_reaches_its_recall():
+    """Pairs at the threshold itself, by size of the texts: the share that some tree finds by a prefix of the length at which both stop."""
     depth = nd.forest_depth()
     assert 1 - (1 - 0.8**depth) ** nd.TREES >= nd.TARGET_RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** nd.TREES
-    r, forest, hits = np.random.default_rng(0), nd.Forest(nd.TREES, nd.MAX_DEPTH), 0
-    for k in range(300):
-        n = [9, 30, 200][k % 3]
-        a = r.integers(0, 1 << 63, n, dtype=np.uint64)
-        b = np.concatenate((a[: n - n // 9], r.integers(0, 1 << 63, n // 9, dtype=np.uint64)))
-        keys = [forest.prefixes(forest.signature(np.unique(x)), depth) for x in (a, b)]
-        hits += bool((keys[0] == keys[1]).any())
-    assert hits >= 298
+    r, forest = np.random.default_rng(0), nd.Forest(nd.TREES, nd.MAX_DEPTH)
+    for n in (5, 10, 45, 200, 1000):  # of 10/9 n shingles, n are common: 0.8 or a little more
+        hits = 0
+        for _ in range(300):
+            a = r.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = np.concatenate((a[: n - n // 9], r.integers(0, 1 << 63, n // 9, dtype=np.uint64))) if n >= 9 else a[:-1]
+            keys = [forest.labels(forest.signature(np.unique(x))) for x in (a, b)]
+            stop = max(nd.forest_depth(nd.least_similarity(len(x))) for x in (a, b))
+            hits += bool((nd.shared_labels(*keys) >= stop).any())
+        assert hits >= 299, n
+
+
+def test_prefixes_shorten_by_record():
+    assert nd.least_similarity(3) == 1 and nd.least_similarity(4) == 0.8 and abs(nd.least_similarity(7) - 6 / 7) < 1e-9
+    assert nd.forest_depth(nd.least_similarity(7)) > nd.forest_depth()
+    r = np.random.default_rng(2)
+    n = 400
+    keys = (r.integers(0, 2, (n, 8)).astype(np.uint64).reshape(n, 2, 4) << np.array([48, 32, 16, 0], np.uint64)).sum(2, dtype=np.uint64)
+    tree, depth = r.integers(0, 2, n), r.integers(5, 9, n)
+    order = np.lexsort((keys[:, 1], keys[:, 0], tree))
+    tree, keys, depth = tree[order], keys[order], depth[order]
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for u, v in nd.climb(tree, keys, depth):
+        for a, b in zip(u.tolist(), v.tolist()):
+            links += 1
+            root[find(a)] = find(b)
+    found = [find(i) for i in range(n)]
+    root = list(range(n))
+    for i, j in itertools.combinations(range(n), 2):
+        if tree[i] == tree[j] and nd.shared_labels(keys[i : i + 1], keys[j : j + 1])[0] >= max(depth[i], depth[j]):
+            root[find(j)] = find(i)
+    expected = [find(i) for i in range(n)]
+    assert len(set(zip(found, expected))) == len(set(found)) == len(set(expected)) and links < n  # one link for a record at most
 
 
 def covered(rows, length):
