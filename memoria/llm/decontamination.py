@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,19 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, mix, pieces, words
+from .common import SPACE, documents, mix, pieces, scratch_path, words
+from .files import read_file, write_file
 
 #: Edits allowed, as a part of an item's characters.
 EDIT_RATE = 0.1
 TARGET_RECALL = 0.999
-#: Steps of a walk; it consumes about half as many bytes.
-STEPS = 28
-#: Steps whose byte is part of a key.
-SAMPLED = 12
-#: Items below this many bytes are looked up as they are.
-SHORT = 32
+#: Shapes of a walk: (bytes of an item from which on it holds, steps, steps whose byte is part of a key, whether windows begin at
+#: words only). A walk consumes about half a byte a step. Of an item with edits in a tenth of its places some eight bytes in a row are
+#: always whole; long items have that at words often enough.
+SHAPES = [(64, 20, 10, True), (0, 12, 9, False)]
+#: Walks of each shape at most; trial edits of a block's items that tell how many are needed.
+MOST_WALKS = 16
+TRIALS = 400
 #: Benchmark bytes that one pass over the documents carries to every task.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
 _FILTER_BITS = 20
 #: Buckets of an item's set of six-byte grams.
 _GRAM_BUCKETS = 4096
@@ -33,40 +35,68 @@ _FOLD[65:91] += 32
 _FOLD[SPACE] = 32
 
 
-def repetitions(length: int = 81, rate: float = EDIT_RATE, recall: float = TARGET_RECALL) -> int:
-    """Walks needed so that an item of ``length`` bytes at the full edit rate is found with the target recall.
-
-    A walk's key survives where none of the bytes that it consumes was edited; an item's words give about
-    length / 6 anchors.
-    """
-    miss = (1 - (1 - rate) ** (STEPS / 2)) ** (length / 6)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(miss)))
-
-
 class Walk:
     """One CGK random walk: at each step the byte under the pointer is the output, and a random bit of (step, byte) moves the pointer on."""
 
-    def __init__(self, seed: int):
-        table = mix(np.arange(STEPS * 256, dtype=np.uint64) + np.uint64(seed * 1_000_003 + 17)).reshape(STEPS, 256)
+    def __init__(self, seed: int, steps: int, sampled: int):
+        table = mix(np.arange(steps * 256, dtype=np.uint64) + np.uint64(seed * 1_000_003 + 17)).reshape(steps, 256)
         self.move = (table & np.uint64(1)).astype(np.int32)
-        order = np.argsort(mix(np.arange(STEPS, dtype=np.uint64) + np.uint64(seed * 31 + 5)))
-        self.sampled = np.zeros(STEPS, bool)
-        self.sampled[order[:SAMPLED]] = True
+        order = np.argsort(mix(np.arange(steps, dtype=np.uint64) + np.uint64(seed * 31 + 5)))
+        self.sampled = np.zeros(steps, bool)
+        self.sampled[order[:sampled]] = True
         self.seed = np.uint64(seed + 1)
 
     def keys(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The sampled part of the embedding of the window at each start, hashed. ``data`` ends in STEPS spare bytes."""
+        """The sampled part of the embedding of the window at each start, hashed. ``data`` ends in as many spare bytes as there are steps."""
         at = starts.astype(np.int32)
         key = np.full(len(at), self.seed, np.uint64)
-        for step in range(STEPS):
+        for step, sampled in enumerate(self.sampled.tolist()):
             byte = data[at]
-            if self.sampled[step]:
+            if sampled:
                 key *= np.uint64(0x9E3779B97F4A7C15)
                 key += byte
             at += self.move[step][byte]
         return mix(key)
 
 
+def anchors(data: np.ndarray, offsets: np.ndarray, at_words: bool) -> np.ndarray:
+    """Where windows begin: at words, or at every byte but white space."""
+    return words(data, offsets)[0] if at_words else np.flatnonzero(data != 32)
+
+
+def edited(text: bytes, edits: int, random: np.random.Generator) -> bytes:
+    """``text`` with so many random insertions, deletions and substitutions."""
+    out = bytearray(text)
+    for _ in range(edits):
+        at, kind = int(random.integers(0, len(out) + 1)), int(random.integers(0, 3))
+        letter = b"etaoinshrdlu "[int(random.integers(0, 13))]
+        if kind == 0 or at == len(out):
+            out.insert(at, letter)
+        elif kind == 1 and len(out) > 1:
+            del out[at]
+        else:
+            out[at] = letter
+    return bytes(out)
+
+
+def walks_needed(texts: list[bytes], rate: float, shape: tuple[int, int, int, bool], recall: float = TARGET_RECALL) -> int:
+    """How many walks find copies of the items with all the edits that are allowed, counted on random edits of the items themselves."""
+    _, steps, sampled, at_words = shape
+    random = np.random.default_rng(11)
+    chosen = [texts[k * len(texts) // TRIALS] for k in range(TRIALS)]
+    pairs = [(t + bytes(steps + 1), b"seven " + edited(t, int(rate * len(t.decode(errors="replace"))), random) + b" more " + bytes(steps)) for t in chosen]
+    sides = [[(data := np.frombuffer(x, np.uint8), anchors(data, np.array([0, len(x) - steps - 1]), at_words)) for x in side] for side in zip(*pairs)]
+    sides = [[(data, at[at < len(data) - steps - 1]) for data, at in side] for side in sides]
+    found = np.zeros(len(pairs), bool)
+    for n in range(1, MOST_WALKS + 1):
+        walk = Walk(n - 1, steps, sampled)
+        for i in np.flatnonzero(~found).tolist():
+            found[i] = np.isin(walk.keys(*sides[0][i]), walk.keys(*sides[1][i])).any()
+        if (~found).sum() <= (1 - recall) * len(pairs):
+            return n
+    return MOST_WALKS
+
+
 def edit_distance_within(item: str, text: str) -> tuple[int, int]:
     """(least edit distance between ``item`` and any part of ``text``, end of the first such part), by bit-parallel dynamic programming."""
     n = len(item)
@@ -95,41 +125,44 @@ def edit_distance_within(item: str, text: str) -> tuple[int, int]:
 
 
 class Benchmark:
-    """A block of items and the keys of the windows at their words."""
+    """A block of items and the keys of the windows in them. ``walks``: how many of each shape."""
 
-    def __init__(self, items: list[tuple[int, bytes]], rate: float = EDIT_RATE, walks: int | None = None):
+    def __init__(self, items: list[tuple[int, bytes]], rate: float = EDIT_RATE, walks: list[int] | None = None):
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         self.rate = rate
         self.chars = [t.decode(errors="replace") for t in self.texts]
         self.widest = [max(len(x.encode()) for x in c) for c in self.chars]
-        self.grams = np.zeros((len(items), _GRAM_BUCKETS), bool)
+        self.grams = np.zeros((len(items), _GRAM_BUCKETS // 8), np.uint8)
         for k, t in enumerate(self.texts):
-            self.grams[k, _grams(np.frombuffer(t, np.uint8))] = True
+            row = np.zeros(_GRAM_BUCKETS, bool)
+            row[_grams(np.frombuffer(t, np.uint8))] = True
+            self.grams[k] = np.packbits(row)
         self.allowed = np.array([int(rate * len(c)) for c in self.chars], np.int64)
-        self.short = [k for k, t in enumerate(self.texts) if 0 < len(t) < SHORT]
-        shortest = min((len(t) for t in self.texts if len(t) >= SHORT), default=81)
-        self.walks = [Walk(s) for s in range(walks or repetitions(shortest, rate))]
-        pad = b"\0" * (STEPS + 1)
+        #: Items too short for a single edit are looked up as they are, between word ends.
+        self.whole = np.flatnonzero(self.allowed == 0).tolist()
+        walks = walks or walks_of(items, rate)
+        pad = b"\0" * (max(s[1] for s in SHAPES) + 1)
         data = np.frombuffer(pad.join(self.texts) + pad, np.uint8)
         sizes = np.array([len(t) for t in self.texts])
         begin = np.concatenate(([0], np.cumsum(sizes + len(pad))))[:-1]
-        owner, offset = [], []
-        for k, t in enumerate(self.texts):
-            if len(t) >= SHORT:
-                start = words(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
-                start = start[start <= max(0, len(t) - STEPS)]
+        self.tables = []
+        for shape, n, mine in zip(SHAPES, walks, _by_shape(self.texts, rate)):
+            owner, offset = [], []
+            for k in mine:
+                start = anchors(np.frombuffer(self.texts[k], np.uint8), np.array([0, sizes[k]]), shape[3])
                 owner.append(np.full(len(start), k))
                 offset.append(start)
-        owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        offset = np.concatenate(offset) if offset else np.zeros(0, np.int64)
-        self.tables = []
-        for walk in self.walks:
-            key = walk.keys(data, begin[owner] + offset)
-            order = np.argsort(key)
-            seen = np.zeros(1 << _FILTER_BITS, bool)
-            seen[key >> np.uint64(64 - _FILTER_BITS)] = True
-            self.tables.append((key[order], owner[order], offset[order], seen))
+            if not owner:
+                continue
+            owner, offset = np.concatenate(owner), np.concatenate(offset)
+            for seed in range(n):
+                walk = Walk(seed, shape[1], shape[2])
+                key = walk.keys(data, begin[owner] + offset)
+                order = np.argsort(key)
+                seen = np.zeros(1 << _FILTER_BITS, bool)
+                seen[key >> np.uint64(64 - _FILTER_BITS)] = True
+                self.tables.append((shape[3], walk, key[order], owner[order], offset[order], seen))
 
     def _alike(self, grams: np.ndarray, items: np.ndarray, where: np.ndarray) -> np.ndarray:
         """Which windows have enough of their item's six-byte grams. An edit spoils those around the bytes of one character, so no true match is lost."""
@@ -143,11 +176,11 @@ class Benchmark:
             if least <= 0:
                 keep[part] = True
                 continue
-            span = np.arange(-slack, size + slack)
+            span, own = np.arange(-slack, size + slack), np.unpackbits(self.grams[k]).astype(bool)
             for some in np.array_split(part, -(-len(part) * len(span) // 2_000_000)):
                 at = where[some][:, None] + span
                 inside = (at >= 0) & (at < len(grams))
-                near = self.grams[k][grams[np.clip(at, 0, len(grams) - 1)]] & inside
+                near = own[grams[np.clip(at, 0, len(grams) - 1)]] & inside
                 keep[some] = near.sum(1) >= least
         return keep
 
@@ -155,12 +188,16 @@ class Benchmark:
         """(row, item_id, edit distance, byte where the matched part ends) for each row and item within the edit rate."""
         data = _FOLD[data]
         raw = data.tobytes()
-        starts, _, row = words(data, offsets)
-        spare = np.concatenate((data, np.zeros(STEPS + 1, np.uint8)))
+        spare = np.concatenate((data, np.zeros(_REACH, np.uint8)))
         grams = _grams(data)
         found: set[tuple[int, int, int]] = set()
-        for walk, (keys, owner, offset, seen) in zip(self.walks, self.tables):
-            if not len(keys) or not len(starts):
+        begins: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+        for at_words, walk, keys, owner, offset, seen in self.tables:
+            if at_words not in begins:
+                at = anchors(data, offsets, at_words)
+                begins[at_words] = at, np.searchsorted(offsets, at, "right") - 1
+            starts, row = begins[at_words]
+            if not len(starts):
                 continue
             key = walk.keys(spare, starts)
             maybe = np.flatnonzero(seen[key >> np.uint64(64 - _FILTER_BITS)])
@@ -183,7 +220,7 @@ class Benchmark:
             begin, stop = int(offsets[r]), int(offsets[r + 1])
             size = len(self.texts[k])
             allowed = int(self.allowed[k])
-            slack = 2 * allowed + STEPS
+            slack = 2 * allowed + _REACH
             a, b = max(begin, (diagonal << 6) - slack), min(stop, ((diagonal + 1) << 6) + size + slack)
             exact = raw.find(self.texts[k], a, b)
             if exact >= 0:
@@ -193,7 +230,7 @@ class Benchmark:
             distance, end = edit_distance_within(self.chars[k], region)
             if distance <= allowed and distance < best.get((r, k), (1 << 30, 0))[0]:
                 best[r, k] = (distance, a + len(region[:end].encode()) - begin)
-        for k in self.short:
+        for k in self.whole:
             at = raw.find(self.texts[k])
             while at >= 0:
                 r = int(np.searchsorted(offsets, at, "right")) - 1
@@ -217,49 +254,74 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)).astype(np.int64)
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, bytes]]]:
-    """Items in blocks of bounded bytes; the driver holds one block at a time."""
-    held, size = [], 0
+#: Bytes that a window may reach past its begin.
+_REACH = max(s[1] for s in SHAPES) + 1
+
+
+def _by_shape(texts: list[bytes], rate: float) -> list[list[int]]:
+    """Positions of the items of each shape: the first whose least size they have. Items without a single edit allowed have none."""
+    out: list[list[int]] = [[] for _ in SHAPES]
+    for k, t in enumerate(texts):
+        if int(rate * len(t.decode(errors="replace"))):
+            out[next(i for i, s in enumerate(SHAPES) if len(t) >= s[0])].append(k)
+    return out
+
+
+def walks_of(items: list[tuple[int, bytes]], rate: float) -> list[int]:
+    texts = [t for _, t in items]
+    return [walks_needed([texts[k] for k in mine], rate, shape) if mine else 0 for shape, mine in zip(SHAPES, _by_shape(texts, rate))]
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, rate: float) -> list[tuple[str, list[int]]]:
+    """The items, folded, in files of bounded bytes in the shared folder: (path, walks of each shape). The driver holds one block at a time."""
+    folder, out, held, size = scratch_path(benchmark.sparkSession, "benchmark"), [], [], 0
     folded = bytes(_FOLD)
-    for row in benchmark.select(F.col(item).cast("long"), F.col(text)).filter(F.length(F.trim(text)) > 0).toLocalIterator():
-        held.append((row[0], row[1].encode().strip().translate(folded)))
+
+    def write() -> None:
+        path, _ = write_file(folder, f"block-{len(out):06d}", pickle.dumps(held))
+        out.append((path, walks_of(held, rate)))
+
+    for row in benchmark.select(F.col(f"`{item}`").cast("long"), F.col(f"`{text}`")).filter(F.col(f"`{text}`").rlike(r"\S")).toLocalIterator():
+        held.append((row[0], row[1].encode().translate(folded).strip(b" ")))
         size += len(held[-1][1])
         if size >= BLOCK_BYTES:
-            yield held
+            write()
             held, size = [], 0
     if held:
-        yield held
+        write()
+    return out
 
 
 def contaminations(df: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = EDIT_RATE) -> DataFrame:
     """A row for each document and benchmark item such that a part of the document is within the edit rate of the item: doc_id, item_id, edits, n_chars of the item, end (byte after the part).
 
-    Windows begin at every word of the documents and of the items. The CGK embedding of a window turns edits
-    into few differing positions; keys sample positions of it, over as many independent walks as the target
-    recall needs. A key uses the walk's first steps, so its cost does not depend on the items' sizes, and
-    each of an item's words is one more chance of a hit. Where a key is shared, the item-sized window around it is
-    verified by exact edit distance (characters; ASCII case and the kind of white space are ignored).
+    The CGK embedding of a window turns edits into few differing positions; keys sample positions of it. A key uses the embedding's
+    first steps (SHAPES), so its cost does not depend on the items' sizes, and windows begin at every word of documents and items, for
+    short items at every byte. Independent walks are added until random edits at the limit of the block's own items are found with the
+    target recall. Where a key is shared, the item-sized window around it is verified by exact edit distance (characters; ASCII case
+    and the kind of white space are ignored). Items too short for a single edit match as they are, between word ends.
 
-    Null or blank documents and items match nothing; items below SHORT bytes match only as they are, at word
-    ends; rows with equal doc_id each give their rows; extra columns are ignored. The benchmark passes in blocks of BLOCK_BYTES.
+    Null or blank documents and items match nothing; rows with equal doc_id each give their rows; items that repeat each count;
+    extra columns are ignored; an empty benchmark finds nothing. The benchmark passes in blocks of BLOCK_BYTES, each of them one pass
+    over the documents. A text is held whole in one task.
     """
-    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rows = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     schema = "doc_id long, item_id long, edits int, item_chars int, end long"
     out = None
-    for block in _blocks(benchmark, item, item_text):
-        found = rows.mapInArrow(_searcher(block, rate, None), schema)
+    for path, walks in _blocks(benchmark, item, item_text, rate):
+        found = rows.mapInArrow(_searcher(path, walks, rate, None), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else rows.sparkSession.createDataFrame([], schema)
 
 
-def _searcher(block: list[tuple[int, bytes]], rate: float, clean: list[str] | None):
-    """Task code: hits of a block of items, or with ``clean`` the rows (all columns) that have none."""
+def _searcher(path: str, walks: list[int], rate: float, text: str | None):
+    """Task code: hits of a block of items, or with ``text``, the name of that column, the rows (all columns) that have none."""
     def run(batches):
-        items = Benchmark(block, rate)
+        items = Benchmark(pickle.loads(read_file(path)), rate, walks)
         size = {i: len(c) for i, c in zip(items.ids, items.chars)}
-        for batch, data, offsets in pieces(batches, "text"):
+        for batch, data, offsets in pieces(batches, text or "text"):
             hits = list(items.search(data, offsets))
-            if clean is not None:
+            if text is not None:
                 bad = {h[0] for h in hits}
                 yield batch.take(pa.array([k for k in range(batch.num_rows) if k not in bad], pa.int64()))
             elif hits:
@@ -269,10 +331,11 @@ def _searcher(block: list[tuple[int, bytes]], rate: float, clean: list[str] | No
     return run
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, *, item: str = "item_id", item_text: str = "text", rate: float = EDIT_RATE) -> DataFrame:
-    """The rows of ``df`` (which has a column text) that hold no benchmark item."""
-    for block in _blocks(benchmark, item, item_text):
-        df = df.mapInArrow(_searcher(block, rate, df.columns), df.schema)
+def decontaminate(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = EDIT_RATE) -> DataFrame:
+    """The rows of ``df`` whose text holds no benchmark item (see ``contaminations``). Rows with null or blank texts stay, as do all rows
+    where the benchmark is empty; repeated rows and null keys count each; extra columns pass through whatever their names."""
+    for path, walks in _blocks(benchmark, item, item_text, rate):
+        df = df.mapInArrow(_searcher(path, walks, rate, text), df.schema)
     return df
 
 

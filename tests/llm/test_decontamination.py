@@ -52,18 +52,44 @@ def test_edited_passages_are_found_and_clean_texts_are_not(spark):
 
 
 def test_odd_rows(spark):
-    docs = spark.createDataFrame([(None, ITEM, 1), (1, None, 1), (2, "", 1), (3, ITEM, 1), (3, ITEM, 1), (4, "a short item here", 1), (5, "ashort item here", 1)], DOCS)
-    items = spark.createDataFrame([(1, ITEM), (2, None), (3, "  "), (4, "short item"), (None, ITEM.upper())], ITEMS)
+    docs = spark.createDataFrame([(None, ITEM, 1), (1, None, 1), (2, "", 1), (3, ITEM, 1), (3, ITEM, 1), (4, "a short item here", 1), (5, "ashort item here", 1), (6, "amoon moonb", 1), (7, "a moon", 1), (8, "a shrt item", 1), (9, "a shrt itm", 1)], DOCS)
+    items = spark.createDataFrame([(1, ITEM), (2, None), (3, "  "), (4, "short item"), (None, ITEM.upper()), (6, "moon")], ITEMS)
     found = sorted((r.doc_id if r.doc_id is not None else -1, r.item_id if r.item_id is not None else -1) for r in d.contaminations(docs, items).collect())
-    assert found == [(-1, -1), (-1, 1), (3, -1), (3, -1), (3, 1), (3, 1), (4, 4)]
+    assert found == [(-1, -1), (-1, 1), (-1, 6), (3, -1), (3, -1), (3, 1), (3, 1), (3, 6), (3, 6), (4, 4), (5, 4), (7, 6), (8, 4)]
     assert d.contaminations(docs.limit(0), items).count() == 0
     assert d.contaminations(docs, items.limit(0)).count() == 0
     long = spark.createDataFrame([(1, "word " * 200_000 + ITEM, 1)], DOCS)
     assert d.contaminations(long, items.filter("item_id = 1")).count() == 1
 
 
-def test_repetitions_rise_with_the_target():
-    assert d.repetitions(81, recall=0.99999) > d.repetitions(300, recall=0.9)
+def test_recall_at_the_edit_limit():
+    """Copies with as many random edits as are allowed, by size of the item, against exact edit distance."""
+    r, word = random.Random(7), lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    for size in (12, 33, 48, 64, 81, 105, 400):
+        items = [(k, prose(100)[:size].strip().encode()) for k in range(40)]
+        bench, edits = d.Benchmark(items), np.random.default_rng(size)
+        hits = within = 0
+        for k, t in items * 3:
+            text = f"{prose(15)} {d.edited(t, int(0.1 * len(t)), edits).decode()} {prose(15)}".encode()
+            within += (distance := d.edit_distance_within(t.decode(), text.decode())[0]) <= 0.1 * len(t)
+            hits += any(row[1] == k and row[2] == distance for row in bench.search(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+        print(size, hits / within, [w[1].sampled.sum() for w in bench.tables])
+        assert within == 120 and hits >= 0.98 * within, size
+
+
+def test_walks_are_added_until_the_recall_is_met():
+    texts = [ITEM.encode()]
+    assert d.walks_needed(texts, 0.1, d.SHAPES[0]) >= d.walks_needed(texts, 0.1, d.SHAPES[0], recall=0.5)
+    assert d.walks_needed(texts, 0.25, d.SHAPES[0]) > d.walks_needed(texts, 0.02, d.SHAPES[0])
     data = np.frombuffer(b"abc abc" + b"\0" * 40, np.uint8)
-    walk = d.Walk(0)
+    walk = d.Walk(0, 20, 10)
     assert walk.keys(data, np.array([0]))[0] == walk.keys(data, np.array([0]))[0]
+
+
+def test_blocks_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(d, "BLOCK_BYTES", 100)  # a block for each item
+    items = spark.createDataFrame([(1, ITEM), (2, ITEM[::-1]), (3, "short item")], ITEMS)
+    docs = spark.createDataFrame([(1, "a " + ITEM, "x", 1.0), (2, ITEM[::-1], "y", 2.0), (3, "short item", "z", 3.0), (4, None, "w", 4.0), (5, "clean", None, 5.0)], "doc_id long, text string, item_id string, edits double")
+    assert sorted((r.doc_id, r.item_id) for r in d.contaminations(docs, items).collect()) == [(1, 1), (2, 2), (3, 3)]
+    assert sorted(map(tuple, d.decontaminate(docs, items).collect()), key=str) == [(4, None, "w", 4.0), (5, "clean", None, 5.0)]
