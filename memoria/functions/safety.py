@@ -14,7 +14,7 @@ INJECTION = "|".join([
     r"pretend\s+(?:you|to)\s+(?:are|be)\s+(?:not|no\s+longer)",
     r"jailbreak|dan\s+mode|evil\s+mode",
 ])
-HIDDEN = "[​-‍﻿‪-‮]"
+HIDDEN = "[\u200b-\u200d\ufeff]|[\u202a-\u202e]|[\u0300-\u036f]{3,}"
 MAX_INPUT = 10_000
 SEVERITIES = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 
@@ -24,19 +24,45 @@ FORBIDDEN = {
     "UNAUTHORIZED_ACCESS": ["steal", "hack", "crack password", "bypass security", "exploit vulnerability", "privilege escalation", "social engineering", "phishing"],
     "HARMFUL_CONTENT": ["create malware", "build weapon", "synthesize poison", "harm person", "injure", "violence instructions"],
     "PRIVACY_VIOLATION": ["expose private data", "dox", "reveal personal information", "leak credentials", "share secrets"],
-    "DECEPTION": ["impersonate user", "fake identity", "hide behavior", "conceal actions", "lie about"],
+    "DECEPTION": ["impersonate user", "fake identity", "deceive", "hide behavior", "conceal actions", "lie about"],
 }
+# Words of those phrases that count alone too.
+DANGEROUS_WORDS = [
+    "delete", "remove", "drop", "truncate", "shutdown", "terminate", "destroy",
+    "hack", "crack", "bypass", "exploit", "malware", "weapon",
+    "poison", "steal", "harm", "injure", "violence",
+    "format", "phishing", "dox",
+    "impersonate", "fake", "deceive", "hide", "conceal", "lie",
+]
+# What an action holds that others must agree to.
+CRITICAL = ["delete", "remove", "drop", "truncate", "shutdown", "execute system", "run command", "deploy", "production", "modify security", "change permissions", "grant access"]
 SEVERE = ["DANGEROUS_ACTIONS", "HARMFUL_CONTENT", "UNAUTHORIZED_ACCESS"]
 THRESHOLDS = {"production": 0.3, "development": 0.7, "sandbox": 0.9}
 
 # Words for and against each value, and what one of them adds or takes.
 VALUES = {
+    "BENEVOLENCE": (["help", "assist", "improve", "benefit", "protect", "support", "enable", "empower", "serve", "care"], ["harm", "damage", "hurt", "exploit", "abuse", "manipulate", "deceive", "destroy", "undermine"]),
+    "PRIVACY": (["protect data", "encrypt", "anonymize", "consent", "secure", "private", "confidential"], ["expose", "leak", "share without consent", "track", "surveil", "spy", "collect secretly"]),
+    "TRANSPARENCY": (["document", "log", "report", "disclose", "explain", "audit", "open", "clear"], ["hide", "conceal", "obfuscate", "mislead", "secret", "covert", "undisclosed"]),
     "COLLABORATION": (["together", "team", "coordinate", "share", "sync", "cooperate", "align", "communicate"], ["solo", "ignore team", "override others", "unilateral", "exclude", "isolate", "hoard"]),
     "EXCELLENCE": (["quality", "test", "review", "improve", "best practice", "standard", "thorough", "complete"], ["hack together", "skip tests", "ignore errors", "good enough", "rush", "shortcut"]),
 }
 FOR, AGAINST = 0.1, 0.15
 
 
+def watched(forbidden: dict[str, list[str]] = FORBIDDEN) -> dict[str, list[str]]:
+    """The phrases of each category and their dangerous words, each once."""
+    return {c: list(dict.fromkeys([*phrases, *(w for p in phrases for w in p.split() if w in DANGEROUS_WORDS)])) for c, phrases in forbidden.items()}
+
+
+def critical_action(text: Column) -> Column:
+    low = F.lower(text)
+    out = F.lit(False)
+    for word in CRITICAL:
+        out = out | F.contains(low, F.lit(word))
+    return out
+
+
 def validate(text: Column) -> dict[str, Column]:
     """severity, whether the text is valid, and the text without hidden characters and NULs, cut to MAX_INPUT."""
     hidden = text.rlike(HIDDEN)
@@ -53,9 +79,9 @@ def validate(text: Column) -> dict[str, Column]:
 
 
 def boundary_risk(text: Column, forbidden: dict[str, list[str]] = FORBIDDEN) -> dict[str, Column]:
-    """Number of forbidden phrases held, their categories, and the risk: 0.8 or 0.6 for the grave ones, else 0.15 each up to 0.5."""
+    """Number of forbidden phrases and dangerous words held, their categories, and the risk: 0.8 or 0.6 for the grave ones, else 0.15 each up to 0.5."""
     low = F.lower(text)
-    hits = {c: sum(F.when(F.contains(low, F.lit(p)), 1).otherwise(0) for p in phrases) for c, phrases in forbidden.items()}
+    hits = {c: sum(F.when(F.contains(low, F.lit(p)), 1).otherwise(0) for p in phrases) for c, phrases in watched(forbidden).items()}
     count = sum(hits.values())
     severe = sum(hits[c] for c in SEVERE if c in hits)
     risk = F.when(severe > 0, 0.8).when(hits.get("DECEPTION", F.lit(0)) > 0, 0.6).otherwise(F.least(count * 0.15, F.lit(0.5)))

@@ -90,3 +90,21 @@ def quorum(votes: DataFrame, *, least: int = 2, ratio: float = 0.67) -> DataFram
     grouped = votes.groupBy("request").agg(F.count(F.lit(1)).alias("votes"), F.avg(F.col("approve").cast("double")).alias("approve_share"))
     s = F.col("approve_share")
     return grouped.withColumn("status", F.when(F.col("votes") < least, "PENDING").when(s >= ratio, "APPROVED").when(1 - s >= ratio, "REJECTED").otherwise("PENDING"))
+
+
+def by_each(df: DataFrame, keys: list[str], *measures: Column) -> DataFrame:
+    """(level, name, n, measures): the rows of each value of each key, in one pass of grouping sets."""
+    level = F.coalesce(*[F.when(F.grouping(k) == 0, F.lit(k)) for k in keys])
+    found = df.groupingSets([[k] for k in keys], *keys).agg(F.count(F.lit(1)).alias("n"), *measures, level.alias("level"))
+    return found.select("level", F.coalesce(*keys).alias("name"), *[c for c in found.columns if c not in ("level", *keys)])
+
+
+def tool_usage(calls: DataFrame) -> DataFrame:
+    """Calls, failures and total time of each tool."""
+    return calls.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("ok")).alias("failures"), F.sum("ms").alias("total_ms"))
+
+
+def count_map(df: DataFrame, key: str, kind: str) -> DataFrame:
+    """(key, counts): for each key a map from kind to the number of rows; rows are counted before they meet."""
+    counted = df.groupBy(F.col(key).alias("key"), F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("counts"))

@@ -213,3 +213,63 @@ def verify_chain(chain: DataFrame, messages: DataFrame, keys: list[str], order:
     rows = chain.join(messages.select(*keys, order, text), [*keys, order])
     before = F.coalesce(F.lag("link").over(Window.partitionBy(*keys).orderBy(order)), F.lit(""))
     return rows.withColumn("holds", F.sha2(F.concat(before, F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256) == F.col("link")).drop(text)
+
+
+def history(messages: DataFrame, keys: list[str], order: str, *, sender: str, text: str) -> DataFrame:
+    """Adds messages, chars and by_sender: what each conversation held up to a message, the message included."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*keys, sender).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return messages.withColumn("messages", F.count(F.lit(1)).over(before)).withColumn("chars", F.sum(F.length(text)).over(before)).withColumn("by_sender", F.count(F.lit(1)).over(own))
+
+
+def threads_about(messages: DataFrame, *, thread: str, sender: str, text: str, topic: str | None = None, participant: str | None = None) -> DataFrame:
+    """The threads in which any message holds the topic or is by the participant."""
+    wanted = F.lit(False)
+    if topic:
+        wanted = wanted | F.contains(F.lower(text), F.lit(topic.lower()))
+    if participant:
+        wanted = wanted | (F.lower(sender) == participant.lower())
+    return messages.filter(wanted).select(thread).distinct()
+
+
+def _vote(text: str) -> Column:
+    return F.coalesce(*[F.nullif(F.regexp_extract(F.lower(text), p, 1), F.lit("")) for p in VOTES])
+
+
+def timeline(messages: DataFrame, *, key: str, sender: str, text: str, chars: int = 20) -> DataFrame:
+    """(key, kind, agent, detail): messages, mentions and votes; to be read in the order of the key."""
+    agent = F.lower(F.col(sender).cast("string"))
+    said = messages.select(F.col(key).alias("key"), F.lit("message").alias("kind"), agent.alias("agent"), F.substring(text, 1, chars).alias("detail"))
+    named = mentions(messages, key=key, sender=sender, text=text).select("key", F.lit("mention").alias("kind"), F.col("mentioner").alias("agent"), F.col("mentioned").alias("detail"))
+    voted = messages.select(F.col(key).alias("key"), F.lit("vote").alias("kind"), agent.alias("agent"), _vote(text).alias("detail")).filter("detail IS NOT NULL")
+    return said.unionByName(named).unionByName(voted)
+
+
+def agent_contexts(messages: DataFrame, *, key: str, sender: str, text: str) -> DataFrame:
+    """(agent, messages, votes, made, received) of every sender: its messages and votes, and the mentions by and of it."""
+    said = messages.groupBy(F.lower(F.col(sender).cast("string")).alias("agent")).agg(F.count(F.lit(1)).alias("messages"), F.count(_vote(text)).alias("votes"))
+    named = mentions(messages, key=key, sender=sender, text=text)
+    made = named.groupBy(F.col("mentioner").alias("agent")).agg(F.count(F.lit(1)).alias("made"))
+    received = named.groupBy(F.col("mentioned").alias("agent")).agg(F.count(F.lit(1)).alias("received"))
+    both = said.join(made, "agent", "left").join(received, "agent", "left")
+    return both.select("agent", "messages", "votes", F.coalesce("made", F.lit(0)).alias("made"), F.coalesce("received", F.lit(0)).alias("received"))
+
+
+def verify(claimed: DataFrame, messages: DataFrame, *, key: str, sender: str, text: str) -> DataFrame:
+    """Claims (key, kind, subject, target, number, says) with verified and severity.
+
+    Kinds: mention, presence and response (whether ``says`` is so), vote_count (``number`` voters in all), vote_target (the subject's last
+    vote is ``target``). What happened is one row for each agent.
+    """
+    cast = votes(messages, key=key, sender=sender, text=text).select(F.col("voter").alias("agent"), "choice")
+    present = messages.select(F.lower(F.col(sender).cast("string")).alias("agent"), F.lit(True).alias("present")).distinct()
+    named = mentions(messages, key=key, sender=sender, text=text).select(F.col("mentioned").alias("agent"), F.lit(True).alias("mentioned")).distinct()
+    facts = present.join(named, "agent", "full").join(cast, "agent", "full")
+    total = cast.agg(F.count(F.lit(1)).alias("voters"))  # one row
+    found = claimed.join(facts, F.lower("subject") == F.col("agent"), "left").join(F.broadcast(total), F.lit(True), "left")
+    found = found.withColumn("present", F.coalesce("present", F.lit(False))).withColumn("mentioned", F.coalesce("mentioned", F.lit(False)))
+    kind = F.col("kind")
+    holds = F.when(kind == "mention", F.col("says") == F.col("mentioned")).when(kind == "vote_count", F.col("number") == F.col("voters")).when(kind == "vote_target", F.coalesce(F.col("choice") == F.lower("target"), F.lit(False))).otherwise(F.col("says") == F.col("present"))
+    worse = F.when(kind == "mention", F.when(F.col("mentioned"), "CRITICAL").otherwise("WARNING")).when(kind == "vote_count", F.when(F.abs(F.col("number") - F.col("voters")) > 1, "CRITICAL").otherwise("ERROR"))
+    worse = F.coalesce(worse, F.when((kind == "vote_target") & F.col("choice").isNotNull(), "ERROR").otherwise("WARNING"))
+    return found.withColumn("verified", holds).withColumn("severity", F.when(F.col("verified"), "INFO").otherwise(worse)).select(*claimed.columns, "verified", "severity")

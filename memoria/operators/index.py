@@ -166,21 +166,51 @@ def converging(found: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.col("matches").cast("long").alias("matches"))
 
 
+def convergence(found: DataFrame) -> DataFrame:
+    """(doc_id, n_links, best): how many other documents agree with each in at least two of the five aspects, and the most aspects that one of them shares; 0 for none.
+
+    Counted over classes of documents that agree in the four aspects besides the keywords, and over kinds that agree in all five; no pair of
+    documents is listed.
+    """
+    coarse = [c for c in ASPECTS if c != "sem_hash"]
+    matches = sum(F.when(F.col(c) == F.col(f"other_{c}"), 1).otherwise(0) for c in coarse)
+
+    def both_ways(met: DataFrame) -> DataFrame:
+        """(rep, others, matches) for both members of each pair."""
+        ends = F.array(F.struct("rep", F.col("other_n").alias("others")), F.struct(F.col("other_rep").alias("rep"), F.col("n").alias("others")))
+        return met.select(F.explode(ends).alias("e"), "matches").select("e.*", "matches")
+
+    kinds = found.groupBy(*ASPECTS).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = kinds.groupBy(*coarse).agg(F.min("rep").alias("rep"), F.sum("n").alias("n"))
+    under = list(itertools.combinations(coarse, 2))
+    keyed = classes.withColumn("key", F.explode(F.array(*[F.struct(F.lit(i).alias("under"), F.col(x).alias("x"), F.col(y).alias("y")) for i, (x, y) in enumerate(under)])))
+    # Two classes meet under each pair of aspects that they share, and count under the first.
+    first = F.coalesce(*[F.when((F.col(x) == F.col(f"other_{x}")) & (F.col(y) == F.col(f"other_{y}")), F.lit(i)) for i, (x, y) in enumerate(under)])
+    met = graph.meet(keyed).filter(first == F.col("key.under")).select("rep", "n", "other_rep", "other_n", matches.alias("matches"))
+    met = both_ways(met).groupBy("rep").agg(F.sum("others").alias("links"), F.max("matches").alias("best"))
+    by_class = classes.join(met, "rep", "left").select(*coarse, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.when(F.col("n") > 1, len(coarse)).otherwise(F.coalesce("best", F.lit(0))).alias("best"))
+    # Equal keywords add one aspect: kinds that share them and one more are linked by them alone.
+    same = graph.meet(kinds.withColumn("key", F.col("sem_hash"))).select("rep", "n", "other_rep", "other_n", matches.alias("matches")).filter("matches >= 1")
+    same = both_ways(same).groupBy("rep").agg(F.sum(F.when(F.col("matches") == 1, F.col("others")).otherwise(0)).alias("more"), (F.max("matches") + 1).alias("near"))
+    by_kind = kinds.join(same, "rep", "left").join(by_class, coarse)
+    best = F.when(F.col("n") > 1, len(ASPECTS)).otherwise(F.greatest("best", F.coalesce("near", F.lit(0))))
+    by_kind = by_kind.select(*ASPECTS, (F.col("links") + F.coalesce("more", F.lit(0))).alias("n_links"), best.cast("long").alias("best"))
+    return found.join(by_kind, ASPECTS).select("doc_id", "n_links", "best")
+
+
 def ingest_decision(found: DataFrame) -> DataFrame:
-    """skip, merge or insert: the most aspects that a document shares with any earlier one.
+    """skip, merge or insert: the most aspects, three at least, that a document shares with any earlier one.
 
-    Asked only where an earlier document has the same keywords, source and author, so at least three are equal by then.
+    The first document of each combination of three, four and five aspects is a partial aggregate, so no combination's rows meet in one task.
     """
-    triple = ["sem_hash", "source_hash", "agent_hash"]
-    # The first document of each combination of aspects, and of each four of them, are partial aggregates.
     kinds = found.groupBy(*ASPECTS).agg(F.min("doc_id").alias("first"))
-    held = kinds.join(kinds.groupBy(*triple).agg(F.min("first").alias("first_triple")), triple)
-    fours = [list(four) for four in itertools.combinations(ASPECTS, 4)]
-    for i, four in enumerate(fours):
-        held = held.join(kinds.groupBy(*four).agg(F.min("first").alias(f"four{i}")), four)
-    held = held.select(*ASPECTS, "first", "first_triple", F.least(*[f"four{i}" for i in range(len(fours))]).alias("first_four"))
+    subsets = [s for n in (3, 4, 5) for s in itertools.combinations(ASPECTS, n)]
+    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(len(s)).alias("size"), F.array(*[F.col(c) if c in s else F.lit(None).cast("long") for c in ASPECTS]).alias("held")) for i, s in enumerate(subsets)])
+    keyed = kinds.select(*ASPECTS, "first", F.explode(keys).alias("k")).select(*ASPECTS, "first", "k.*")
+    firsts = keyed.groupBy("i", "held").agg(F.min("first").alias("earliest"))
+    met = keyed.join(firsts, ["i", "held"]).groupBy(*ASPECTS).agg(*[F.min(F.when(F.col("size") == n, F.col("earliest"))).alias(f"first{n}") for n in (3, 4, 5)])
     best = F.lit(0)
-    for n, first in ((3, "first_triple"), (4, "first_four"), (5, "first")):
-        best = F.when((F.col(first) < F.col("doc_id")) & (F.col("first_triple") < F.col("doc_id")), n).otherwise(best)
-    out = found.join(held, ASPECTS).select("doc_id", best.cast("long").alias("best"))
+    for n in (3, 4, 5):
+        best = F.when(F.col(f"first{n}") < F.col("doc_id"), n).otherwise(best)
+    out = found.join(met, ASPECTS).select("doc_id", best.cast("long").alias("best"))
     return out.select("doc_id", "best", F.when(F.col("best") >= 4, "skip").when(F.col("best") >= 3, "merge").otherwise("insert").alias("decision"))

@@ -21,6 +21,11 @@ CONVERGENCE = {2: 1.0, 3: 1.3, 4: 1.7, 5: 2.2}
 RECENT = {"current", "latest", "now", "today", "recent", "status", "update"}
 HISTORICAL = {"original", "first", "history", "foundation", "origin", "initial", "when", "earliest"}
 DISCOVERY, HOP_DECAY = 1.3, 0.5
+CODE_FILES = [".py", ".ipynb", ".ts", ".tsx", ".js", ".jsx", ".cpp", ".c", ".h", ".hpp", ".rs", ".go", ".java"]
+CODE_WORDS, PYTHON_WORDS = {"python", "code", ".py", "py", "script", "scripts", "function", "module"}, {"python", ".py", "py"}
+#: Factors of Python files, other code files and other files, for a query about Python and for one about code.
+CODE_FACTORS = {True: (2.10, 0.35, 0.20), False: (1.55, 1.08, 0.72)}
+PPR_WEIGHT, SEEDS = 0.3, 5
 CODE_EXTENSIONS = {"py": 1.3, "js": 1.2, "ts": 1.2, "rs": 1.2, "md": 0.9, "log": 0.8}
 
 
@@ -82,6 +87,38 @@ def code_intent(path: Column, weights: dict[str, float] = CODE_EXTENSIONS) -> Co
     return out
 
 
+def code_boost(path: Column, terms: list[str]) -> Column:
+    """A factor by a file's extension, for queries about code; 1 for other queries and files without one."""
+    asked = {t.lower().strip() for t in terms}
+    if not asked & CODE_WORDS:
+        return F.lit(1.0)
+    python, code, other = CODE_FACTORS[bool(asked & PYTHON_WORDS)]
+    extension = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    return F.when(extension == ".py", python).when(extension.isin(CODE_FILES), code).when(extension != "", other).otherwise(1.0)
+
+
+def graph_distance(results: DataFrame, links: DataFrame, *, seeds: int = SEEDS) -> DataFrame:
+    """Results (id, score, explored) with hops, scores raised by the best path of at most two links from the ``seeds`` best."""
+    first = topk(results.select("id", "score"), "score", "id", seeds).select("id")  # a handful
+    start = first.select(F.col("id").alias("source_id"))
+    one = links.join(F.broadcast(start), "source_id", "left_semi").groupBy(F.col("target_id").alias("id")).agg(F.max("strength").alias("strength"))
+    second = links.select(F.col("source_id").alias("middle"), "target_id", F.col("strength").alias("more"))
+    two = one.join(second, F.col("id") == F.col("middle")).groupBy(F.col("target_id").alias("id")).agg(F.max(F.round(F.col("strength") * F.col("more"), 9)).alias("strength"))
+    near = one.withColumn("hops", F.lit(1)).unionByName(two.withColumn("hops", F.lit(2))).join(F.broadcast(first), "id", "left_anti")
+    best = near.groupBy("id").agg(F.min(F.struct("hops", (-F.col("strength")).alias("s"))).alias("b")).select("id", "b.hops", (-F.col("b.s")).alias("strength"))
+    found = results.join(best, "id", "left")
+    boost = F.coalesce(graph_boost(F.col("strength"), F.col("hops"), F.col("explored")), F.lit(1.0))
+    return found.withColumn("score", F.col("score") * boost).drop("strength", "explored")
+
+
+def ppr_blend(results: DataFrame, mass: DataFrame, weight: float = PPR_WEIGHT) -> DataFrame:
+    """Results (id, score), the score of those with PageRank mass (id, mass) blended with it, as a share of the greatest."""
+    most = mass.agg(F.max("mass").alias("most"))  # one row
+    found = results.join(mass, "id", "left").join(F.broadcast(most), F.lit(True), "left")
+    share = F.col("mass") / F.greatest("most", F.lit(1e-9))
+    return found.select("id", F.when(F.col("mass") > 0, (1 - weight) * F.col("score") + weight * share).otherwise(F.col("score")).alias("score"))
+
+
 def temporal_intent(terms: list[str]) -> str:
     recent, old = len(RECENT & set(terms)), len(HISTORICAL & set(terms))
     return "recent" if recent > old else "historical" if old > recent else "neutral"

@@ -75,3 +75,14 @@ def normal_path(column: Column) -> Column:
 def live(expires: Column, as_of: Column) -> Column:
     """Without an end, or with one still ahead."""
     return expires.isNull() | (expires > as_of)
+
+
+def hot(df: DataFrame, as_of: Column, *, at: str, key: str, days: int = 30, most: int) -> DataFrame:
+    """The rows of the last ``days``, the newest ``most`` of them."""
+    return df.filter(F.col(at) >= as_of - F.expr(f"INTERVAL {days} DAYS")).orderBy(F.desc(at), F.desc(key)).limit(most)
+
+
+def resurfaces(as_of: Column, due_at: Column, shown_at: Column, days: Column) -> Column:
+    """Whether a reminder that is due has not been shown yet, or not for its interval."""
+    since = (F.unix_micros(as_of) - F.unix_micros(shown_at.cast("timestamp"))) / 86_400_000_000
+    return (due_at <= as_of) & F.coalesce(since >= days, F.lit(True))

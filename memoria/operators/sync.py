@@ -111,3 +111,17 @@ def knowledge_query(entries: DataFrame, *, source: str | None = None, category:
 def latest_changes(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Each key's last row; for logs whose keys have few rows."""
     return log.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))).filter("_n = 1").drop("_n")
+
+
+def catalog(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rows, columns): one count for each table."""
+    out = None
+    for name, df in tables.items():
+        row = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).cast("long").alias("columns"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def run_sql(spark: SparkSession, tables: dict[str, DataFrame], statement: str) -> DataFrame:
+    """A statement of the user's over the given tables, each named in braces."""
+    return spark.sql(statement, **tables)

@@ -168,18 +168,20 @@ def cascade_dedup(spark, d):
     return index.cascade(index.aspects(_docs(spark, d)))
 
 
-@query(f"""WITH {_ASPECTS}, b AS (SELECT x.doc_id, coalesce(max(3 + (y.intent_hash = x.intent_hash)::INT + (y.project_hash = x.project_hash)::INT), 0)::BIGINT AS best
-  FROM found x LEFT JOIN found y ON x.sem_hash = y.sem_hash AND x.source_hash = y.source_hash AND x.agent_hash = y.agent_hash AND y.doc_id < x.doc_id
-  GROUP BY x.doc_id) SELECT doc_id, CASE WHEN best IS NULL THEN 0 ELSE best END AS best, CASE WHEN best >= 4 THEN 'skip' WHEN best >= 3 THEN 'merge' ELSE 'insert' END AS decision FROM b""")
+_EQUAL = " + ".join(f"(x.{c} = y.{c})::INT" for c in index.ASPECTS)
+
+
+@query(f"""WITH {_ASPECTS}, b AS (SELECT x.doc_id, coalesce(max({_EQUAL}), 0)::BIGINT AS best FROM found x LEFT JOIN found y ON y.doc_id < x.doc_id GROUP BY x.doc_id)
+ SELECT doc_id, CASE WHEN best >= 3 THEN best ELSE 0 END AS best, CASE WHEN best >= 4 THEN 'skip' WHEN best >= 3 THEN 'merge' ELSE 'insert' END AS decision FROM b""")
 def ingest_decision(spark, d):
     return index.ingest_decision(index.aspects(_docs(spark, d)))
 
 
-@query(f"""WITH {_ASPECTS}, x AS (SELECT a.doc_id AS a, b.doc_id AS b, ((a.source_hash = b.source_hash)::INT + (a.agent_hash = b.agent_hash)::INT + (a.intent_hash = b.intent_hash)::INT + (a.project_hash = b.project_hash)::INT + 1)::BIGINT AS matches
-  FROM found a JOIN found b ON a.sem_hash = b.sem_hash AND a.doc_id < b.doc_id) SELECT a, b, matches, CASE WHEN matches >= 5 THEN 2.2 WHEN matches >= 4 THEN 1.7 WHEN matches >= 3 THEN 1.3 ELSE 1.0 END AS boost FROM x WHERE matches >= 2""")
+@query(f"""WITH {_ASPECTS}, p AS (SELECT x.doc_id, ({_EQUAL})::BIGINT AS matches FROM found x JOIN found y ON x.doc_id <> y.doc_id), b AS (SELECT doc_id, count(*) AS n_links, max(matches) AS best FROM p WHERE matches >= 2 GROUP BY doc_id)
+ SELECT f.doc_id, coalesce(n_links, 0) AS n_links, coalesce(best, 0) AS best, CASE WHEN best >= 5 THEN 2.2 WHEN best >= 4 THEN 1.7 WHEN best >= 3 THEN 1.3 ELSE 1.0 END AS boost FROM found f LEFT JOIN b ON f.doc_id = b.doc_id""")
 def aspect_convergence(spark, d):
-    pairs = index.converging(index.aspects(_docs(spark, d)))
-    return pairs.select("a", "b", "matches", rank.convergence(F.col("matches")).alias("boost"))
+    found = index.convergence(index.aspects(_docs(spark, d)))
+    return found.select("doc_id", "n_links", "best", rank.convergence(F.col("best")).alias("boost"))
 
 
 # -- ranking --------------------------------------------------------------------------------------
@@ -267,18 +269,24 @@ def garbage_filter(spark, d):
     return _docs(spark, d).select("doc_id", text.garbage_reason(F.col("text")).alias("reason"))
 
 
-def _emotion_sql() -> str:
-    hits = lambda p: f"len(regexp_extract_all(low, $q$\\b({p})\\b$q$))"
-    modifier = f"greatest(0.5, least(2.0, 1.0 + {hits(emotion.AMPLIFIERS)} * 0.1 - {hits(emotion.DIMINISHERS)} * 0.1))"
-    scores = ", ".join(f"round({hits(p)} * {w} / n * 100 * {modifier}, 4) AS {name.lower()}" for name, (w, p) in emotion.DIMENSIONS.items())
-    return rf"SELECT conv_id, turn, {scores} FROM (SELECT conv_id, turn, regexp_replace(lower(text), '[^\x00-\x7F]', 'z', 'g') AS low, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS n FROM conversations) WHERE n > 0"
+def _emotion_sql(columns: str = "conv_id, turn") -> str:
+    hits = lambda p: f"len(regexp_extract_all(low, $q${p}$q$))"
+
+    def every(patterns):
+        words, phrases = emotion.passes(patterns)
+        return f"({' + '.join(map(hits, [words, *phrases]))})"
+
+    modifier = f"greatest(0.5, least(2.0, 1.0 + {every(emotion.AMPLIFIERS)} * 0.1 - {every(emotion.DIMINISHERS)} * 0.1))::DOUBLE"
+    two = lambda x: f"floor(({x}) * 100 + 0.5) / 100"
+    scores = ", ".join(f"{two(two(f'{every(p)} * {w}::DOUBLE / n * 100') + ' * ' + modifier)} AS {name.lower()}" for name, (w, p) in emotion.DIMENSIONS.items())
+    return rf"SELECT {columns}, {scores} FROM (SELECT {columns}, regexp_replace(lower(text), '{emotion.FOREIGN}', 'z', 'g') AS low, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS n FROM conversations) WHERE n > 0"
 
 
 @query(_emotion_sql())
 def emotion_scores(spark, d):
     scores = emotion.emotion_scores(F.col("text"))
     rows = table(spark, d, "conversations").filter(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) > 0)
-    return rows.select("conv_id", "turn", *[F.round(c, 4).alias(n.lower()) for n, c in scores.items()])
+    return rows.select("conv_id", "turn", *[c.alias(n.lower()) for n, c in scores.items()])
 
 
 @query(r"""SELECT doc_id, length(text) AS chars, len(w) AS words, len(string_split(text, chr(10))) AS lines, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p, ' ') <> '')) AS paragraphs,
@@ -327,14 +335,14 @@ def json_fields(spark, d):
 # -- safety ---------------------------------------------------------------------------------------
 
 @query(rf"""SELECT doc_id, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][level + 1] AS severity, level = 0 AS valid FROM (SELECT doc_id, greatest(CASE WHEN length(text) > 10000 THEN 2 ELSE 0 END,
- CASE WHEN regexp_matches(lower(text), {_Q(safety.INJECTION)}) THEN 3 ELSE 0 END, CASE WHEN regexp_matches(text, '[\x{{200B}}-\x{{200D}}\x{{FEFF}}\x{{202A}}-\x{{202E}}]') THEN 2 ELSE 0 END,
+ CASE WHEN regexp_matches(lower(text), {_Q(safety.INJECTION)}) THEN 3 ELSE 0 END, CASE WHEN regexp_matches(text, '[\x{{200B}}-\x{{200D}}\x{{FEFF}}]|[\x{{202A}}-\x{{202E}}]|[\x{{0300}}-\x{{036F}}]{{3,}}') THEN 2 ELSE 0 END,
  CASE WHEN length(regexp_replace(text, '[\p{{L}}\p{{N}}\s]', '', 'g')) / greatest(length(text), 1) > 0.5 THEN 1 ELSE 0 END) AS level FROM documents)""")
 def input_validation(spark, d):
     v = safety.validate(F.col("text"))
     return _docs(spark, d).select("doc_id", v["severity"].alias("severity"), v["valid"].alias("valid"))
 
 
-_HITS = {c: " + ".join(f"(contains(lower(text), '{p}'))::INT" for p in ps) for c, ps in safety.FORBIDDEN.items()}
+_HITS = {c: " + ".join(f"(contains(lower(text), '{p}'))::INT" for p in ps) for c, ps in safety.watched().items()}
 
 
 @query(f"""SELECT conv_id, turn, ({' + '.join(_HITS.values())})::BIGINT AS violations, concat_ws(',', {', '.join(f"CASE WHEN {h} > 0 THEN '{c}' END" for c, h in _HITS.items())}) AS categories,
@@ -495,7 +503,7 @@ def anti_orphans(spark, d):
     return graph.orphans(nodes, table(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("target_id")))
 
 
-@query("WITH a AS (SELECT doc_id AS id, md5(text) AS v FROM documents WHERE doc_id < 60), b AS (SELECT item_id + 20 AS id, md5(text) AS v FROM benchmark) SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'deleted' WHEN a.v <> b.v THEN 'modified' ELSE 'unchanged' END AS status FROM a FULL JOIN b ON a.id = b.id")
+@query("WITH a AS (SELECT doc_id AS id, md5(text) AS v FROM documents), b AS (SELECT item_id + 20 AS id, md5(text) AS v FROM benchmark) SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'deleted' WHEN a.v <> b.v THEN 'modified' ELSE 'unchanged' END AS status FROM a FULL JOIN b ON a.id = b.id")
 def outer_compare(spark, d):
     a = _docs(spark, d).select(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("v"))
     b = table(spark, d, "benchmark").select((F.col("item_id") + 20).alias("id"), F.md5(F.col("text").cast("binary")).alias("v"))
@@ -541,7 +549,7 @@ def set_intersection(spark, d):
 
 # -- graph ----------------------------------------------------------------------------------------
 
-_LINKS = f"""{_TOKENS}, firstten AS (SELECT doc_id, token FROM ann WHERE rnk <= 10), few AS (SELECT token FROM firstten GROUP BY token HAVING count(*) BETWEEN 2 AND 100), linking AS (SELECT * FROM firstten WHERE token IN (SELECT token FROM few)),
+_LINKS = f"""{_TOKENS}, linking AS (SELECT doc_id, token FROM ann),
  pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS overlap FROM linking a JOIN linking b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 3),
  links AS (SELECT x AS source_id, y AS target_id, overlap, least(1.0, 0.3 + 0.1 * overlap) AS strength FROM pairs UNION ALL SELECT y, x, overlap, least(1.0, 0.3 + 0.1 * overlap) FROM pairs)"""
 
@@ -551,7 +559,7 @@ def shared_token_links(spark, d):
     return graph.shared_token_links(index.keywords(_docs(spark, d))).withColumn("strength", F.round("strength", 4))
 
 
-_ORDER_LINKS = "links AS (SELECT DISTINCT l_suppkey AS source_id, 100000 + l_partkey % 500 AS target_id, 0.3 + 0.1 * (l_partkey % 7) AS strength FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 = 0 UNION SELECT DISTINCT 100000 + l_partkey % 500, l_suppkey, 0.3 + 0.1 * (l_partkey % 7) FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 = 0), best AS (SELECT source_id, target_id, max(strength) AS strength FROM links GROUP BY ALL)"
+_ORDER_LINKS = "links AS (SELECT DISTINCT l_suppkey AS source_id, 100000 + l_partkey % 500 AS target_id, 0.3 + 0.1 * (l_partkey % 7) AS strength FROM lineitem UNION SELECT DISTINCT 100000 + l_partkey % 500, l_suppkey, 0.3 + 0.1 * (l_partkey % 7) FROM lineitem), best AS (SELECT source_id, target_id, max(strength) AS strength FROM links GROUP BY ALL)"
 
 
 def _order_links(spark, d):

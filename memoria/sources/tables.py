@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -76,3 +76,8 @@ def export(df: DataFrame, path: str, kind: str = "csv") -> None:
         df.write.mode("overwrite").option("compression", "zstd" if kind == "parquet" else "none").format(kind).save(path)
     else:
         raise ValueError(f"no format {kind}")
+
+
+def author(path: Column) -> Column:
+    """Who a file's name says it is by: what stands before the first underscore of its stem, in capitals; empty for none."""
+    return F.upper(F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), r"(?:^|/)([A-Za-z0-9-]+)_[^/]*$", 1))

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from memoria.plans.catalogue import ORACLES, QUERIES
+from memoria.plans.service import ORACLES, QUERIES
 from memoria.sources.tables import TABLES
 
 
