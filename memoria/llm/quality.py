@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, documents, materialize, pieces, words
+from .common import Rolling, documents, pieces, words
 
 #: Rows that training holds at most: trusted positives, and unlabelled texts.
 MAX_POSITIVES = 20_000
@@ -113,8 +113,15 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def pu_gradient(zp: np.ndarray, zu: np.ndarray, prior: float) -> np.ndarray:
+    """The derivative by the scores (positives, then unlabelled) of prior * R_p+ + max(0, R_u- - prior * R_p-) with the logistic loss; where the bracket is negative, that of the bracket with its sign reversed."""
+    bracket = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    sp, su = prior * _sigmoid(zp) / len(zp), _sigmoid(zu) / len(zu)
+    return np.concatenate((sp - prior / len(zp) - sp, su)) if bracket >= 0 else np.concatenate((sp, -su))
+
+
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Minimise prior * R_p+ + max(0, R_u- - prior * R_p-) with the logistic loss; where the bracket is negative its gradient is reversed."""
+    """Minimise the non-negative risk of ``pu_gradient``."""
     net, r = Network(positive.shape[1], seed=seed), np.random.default_rng(seed)
     batches = max(8, min(60, len(unlabelled) // 256))
     for epoch in range(epochs):
@@ -124,16 +131,7 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: i
                 continue
             x = np.concatenate((positive[a], unlabelled[b]))
             z, h = net.forward(x)
-            zp, zu = z[: len(a)], z[len(a) :]
-            bracket = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            d = np.zeros(len(x))
-            if bracket >= 0:
-                d[: len(a)] = prior * (_sigmoid(zp) - 1) / len(a) - prior * _sigmoid(zp) / len(a)
-                d[len(a) :] = _sigmoid(zu) / len(b)
-            else:
-                d[: len(a)] = prior * _sigmoid(zp) / len(a)
-                d[len(a) :] = -_sigmoid(zu) / len(b)
-            net.step(x, h, d, 0.01 * 0.5 ** (epoch / 15))
+            net.step(x, h, pu_gradient(z[: len(a)], z[len(a) :], prior), 0.01 * 0.5 ** (epoch / 15))
     return net
 
 
@@ -164,12 +162,12 @@ class QualityModel:
         return _sigmoid(self.net.forward(self._unit(x))[0] + self.shift) if self.net else np.full(len(x), 0.5)
 
 
-def _sample(df: DataFrame, most: int, salt: int) -> np.ndarray:
-    """At most about ``most`` rows of x, chosen by a hash of doc_id."""
-    n = df.count()
+def _sample(docs: DataFrame, most: int, salt: int) -> np.ndarray:
+    """Features of at most ``most`` rows, chosen by a hash of doc_id. Only about so many texts are looked at."""
+    n = docs.select("doc_id").count()
     if n > most:
-        df = df.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20)) < int((1 << 20) * most / n))
-    rows = df.orderBy(F.xxhash64("doc_id", F.lit(salt))).limit(most).select("x").toPandas()
+        docs = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20)) < int((1 << 20) * most / n))
+    rows = feature_table(docs).orderBy(F.xxhash64("doc_id", F.lit(salt))).limit(most).select("x").toPandas()
     return np.array(rows["x"].tolist(), np.float32).reshape(-1, FEATURES)
 
 
@@ -177,21 +175,13 @@ def held_out(key: str, parts: int, part: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def train(table: DataFrame, labels: DataFrame) -> QualityModel:
-    """Fit on the feature table: positives are its rows labelled 1, the unlabelled are any of its rows. Rows that are held out take no part."""
-    open_rows = table.filter(~held_out("doc_id", 4, 2))
+def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
+    """Fit on documents (doc_id, text): positives are the rows labelled 1, the unlabelled are any rows. Rows that are held out take no part."""
+    open_rows = docs.select("doc_id", "text").filter(~held_out("doc_id", 4, 2))
     good = labels.filter("quality = 1").select("doc_id").distinct()
     return QualityModel(_sample(open_rows.join(good, "doc_id", "left_semi"), MAX_POSITIVES, 1), _sample(open_rows, MAX_UNLABELLED, 2))
 
 
-def _scorer(model: QualityModel):
-    def run(batches):
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], ["doc_id", "score"])
-    return run
-
-
 def quality_scores(df: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``df`` (doc_id, text).
 
@@ -201,14 +191,21 @@ def quality_scores(df: DataFrame, labels: DataFrame) -> DataFrame:
     have zero features and a score like any other; null doc_ids are not held out; without any positive the
     score is one half; repeated rows repeat; extra columns are ignored.
     """
-    table = materialize(feature_table(df), "quality-features")
-    scored = table.mapInArrow(_scorer(train(table, labels)), "doc_id long, score double")
+    model = train(df, labels)
+
+    def run(batches):
+        for batch, data, offsets in pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(features(data, offsets)), pa.float64())], ["doc_id", "score"])
+
+    scored = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def keep_quality(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df``, all columns, whose text scores at least ``threshold``."""
-    model = train(materialize(feature_table(df), "quality-features"), labels)
+    """The rows of ``df``, all columns, whose text scores at least ``threshold``. Null and empty texts have a score like any other; null
+    and repeated doc_ids do no harm; extra columns pass through whatever their names; without any positive, or in an empty table, every score
+    is one half. A text is held whole in one task."""
+    model = train(df, labels)
 
     def run(batches):
         for batch, data, offsets in pieces(batches, "text"):

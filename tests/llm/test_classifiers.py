@@ -42,6 +42,20 @@ def test_risk_never_falls_below_zero_and_prior_is_near():
     assert 0.6 < quality.estimate_prior(good[2000:, 0], unlabelled[:, 0]) < 0.85
 
 
+def test_gradient_is_that_of_the_risk():
+    r = np.random.default_rng(2)
+    loss = lambda z: np.logaddexp(0, z).mean()
+    for zp, zu, prior in ((r.normal(0, 1, 7), r.normal(1, 1, 9), 0.4), (r.normal(3, 1, 7), r.normal(-2, 1, 9), 0.8)):
+        bracket = lambda p, u: loss(u) - prior * loss(p)  # noqa: E731, B023
+        risk = (lambda p, u: prior * loss(-p) + bracket(p, u)) if bracket(zp, zu) >= 0 else (lambda p, u: -bracket(p, u))  # noqa: B023
+        z, found = np.concatenate((zp, zu)), quality.pu_gradient(zp, zu, prior)
+        for k in range(len(z)):
+            step = np.zeros(len(z))
+            step[k] = 1e-5
+            up, down = ((z + step)[:7], (z + step)[7:]), ((z - step)[:7], (z - step)[7:])
+            assert abs((risk(*up) - risk(*down)) / 2e-5 - found[k]) < 1e-6
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, None), (1, ""), (2, "  \n "), (3, "é" * 3000), (3, "é" * 3000), (4, "one")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
