@@ -20,8 +20,10 @@ PASSAGE = 240
 SEED = 64
 #: Starts that one segment may hold; longer runs are cut, and their parts still meet by their seed.
 SEGMENT_STARTS = 1024
-#: Bytes that one index holds. A seed with more distinct text than this is cut by further seeds.
-INDEX_BYTES = 1 << 20
+#: Bytes that one index holds, few enough that a core's cache holds its arrays.
+INDEX_BYTES = 1 << 17
+#: A seed with more distinct text than so many times that is cut by further seeds.
+SEED_PARTS = 32
 
 
 def _window_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -104,23 +106,7 @@ class RunLengthIndex:
         self.begins = ends - self.lengths
         owner = np.repeat(np.arange(len(texts)), self.lengths)
         left = ends[owner] - np.arange(n)  # bytes to the text's end
-        rank, depth = self._first_ranks(data, left), 7
-        order = None
-        longest = int(self.lengths.max()) if n else 0
-        while n:
-            order = np.argsort(rank)
-            sorted_rank = rank[order]
-            if depth >= longest or (len(sorted_rank) == 1) or not (sorted_rank[1:] == sorted_rank[:-1]).any():
-                break
-            dense = np.empty(n, np.int64)
-            dense[order] = np.cumsum(np.concatenate(([1], sorted_rank[1:] != sorted_rank[:-1])))
-            ahead = np.zeros(n, np.int64)
-            ahead[: max(0, n - depth)] = dense[depth:]
-            ahead[left <= depth] = 0
-            rank = dense * (n + 1) + ahead
-            depth *= 2
-        if not n:
-            order = np.zeros(0, np.int64)
+        order = self._sorted(data, left)
         # Equal suffixes of different texts may stand in any order: a neighbour shares all of them either way.
         before = np.where(order == self.begins[owner[order]], 256 + owner[order], data[order - 1]) if n else np.zeros(0, np.int64)
         head = np.concatenate(([True], before[1:] != before[:-1])) if n else np.zeros(0, bool)
@@ -132,6 +118,25 @@ class RunLengthIndex:
         self.first_match = np.concatenate(([0], shared))[: len(self.first)]
         self.last_match = np.concatenate((shared, [0]))[: len(self.last)]
 
+    @classmethod
+    def _sorted(cls, data: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The suffixes in order, by doubling: each round sorts only those that are not yet told apart."""
+        rank, depth, n = cls._first_ranks(data, left), 7, len(data)
+        order = np.argsort(rank)
+        slots, value = np.arange(n), rank[order]
+        while len(slots):
+            head = np.concatenate(([True], value[1:] != value[:-1]))
+            rank[order[slots]] = slots[np.maximum.accumulate(np.where(head, np.arange(len(slots)), 0))]
+            # Left are groups of several; those that end before the depth are equal and stay as they are.
+            slots = slots[~(head & np.concatenate((head[1:], [True])))]
+            slots = slots[left[order[slots]] >= depth]
+            at = order[slots]
+            value = rank[at] * (n + 1) + np.where(left[at] > depth, rank[np.minimum(at + depth, n - 1)] + 1, 0)
+            depth *= 2
+            by = np.argsort(value)
+            order[slots], value = at[by], value[by]
+        return order
+
     @staticmethod
     def _first_ranks(data: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Seven bytes as one number, nine bits each; past a text's end there is 0."""
@@ -256,7 +261,7 @@ def _find(docs: DataFrame, length: int, index_bytes: int, level: int = 0) -> Dat
                 unique.setdefault((g["seed"], g["body"], g["starts"]), g)
             group = list(unique.values())
             bodies, counts = [g["bytes"] for g in group], [g["n"] for g in group]
-            ranges = repeated_starts(bodies, counts, length) if sum(map(len, bodies)) <= 4 * index_bytes else _by_further_seeds(bodies, counts, length, index_bytes, level + 1)
+            ranges = repeated_starts(bodies, counts, length) if sum(map(len, bodies)) <= SEED_PARTS * index_bytes else _by_further_seeds(bodies, counts, length, index_bytes, level + 1)
             some = [(g, r) for g, r in zip(group, ranges) if r]
             return pa.RecordBatch.from_pydict({"seed": pa.array([g["seed"] for g, _ in some], pa.int64()), "body": pa.array([g["body"] for g, _ in some], pa.int64()), "starts": pa.array([g["starts"] for g, _ in some], pa.int32()), "ranges": pa.array([[{"s": a, "e": b} for a, b in r] for _, r in some], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))})
 
@@ -271,7 +276,7 @@ def _find(docs: DataFrame, length: int, index_bytes: int, level: int = 0) -> Dat
             yield finish()
 
     if "index" in totals:
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals["index"] // (4 * index_bytes)))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals["index"] // (SEED_PARTS * index_bytes)))
         grouped = texts("index").repartition(parts, "seed").sortWithinPartitions("seed", "body", "starts")
         marked = marked.union(materialize(grouped.mapInArrow(index, f"seed long, body long, starts int, ranges {SPANS}"), "ranges"))
     if "hot" in totals:
@@ -344,7 +349,7 @@ def _by_further_seeds(texts: list[bytes], counts: list[int], length: int, limit:
             continue
         own = [k for k, _ in items]
         many = [2 if len(at) > 1 or counts[at[0][0]] > 1 else 1 for _, at in items]
-        if sum(map(len, own)) > 4 * limit and level < 4:
+        if sum(map(len, own)) > SEED_PARTS * limit and level < 4:
             ranges = _by_further_seeds(own, many, length, limit, level + 1)
         else:
             ranges = repeated_starts(own, many, length)
