@@ -99,6 +99,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -
             row = end
 
 
+def word_slices(raw: bytes, a: int, b: int, limit: int = CHUNK) -> Iterator[list[bytes]]:
+    """The words of ``raw[a:b]`` (runs of other than ASCII white space), about ``limit`` bytes at a time. No word is cut."""
+    while b - a > limit:
+        cut = max(raw.rfind(c, a, a + limit) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if cut < 0:  # one word longer than that
+            cut = min((x for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (x := raw.find(c, a + limit, b)) >= 0), default=b)
+        yield raw[a:cut].split()
+        a = min(cut + 1, b)
+    yield raw[a:b].split()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, elementwise."""
     x = x ^ (x >> np.uint64(30))
