@@ -32,14 +32,20 @@ MOST_LONG = (1 << 63) - 1
 
 
 def products(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole-numbered doubles: (vectors, queries), as doubles where those are exact, else as long or Python numbers."""
+    """Exact inner products of whole-numbered doubles: (vectors, queries), as doubles where those are exact, else as long or Python numbers. One beyond a long counts as the nearest long."""
     most = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, vectors.shape[1])
     if most < 2.0**53:
         return vectors @ queries.T
     if most < 2.0**62:
         return vectors.astype(np.int64) @ queries.astype(np.int64).T
     whole = np.frompyfunc(int, 1, 1)
-    return whole(vectors).astype(object) @ whole(queries).astype(object).T
+    return np.clip(whole(vectors).astype(object) @ whole(queries).astype(object).T, -MOST_LONG - 1, MOST_LONG)
+
+
+def _length(v: np.ndarray) -> float:
+    """Euclidean length, without overflow in between; at most the largest double."""
+    most = float(np.abs(v).max(initial=0))
+    return min(most * float(np.linalg.norm(v / most)), np.finfo(float).max) if most else 0.0
 
 
 class Bucket:
@@ -87,6 +93,13 @@ class Bucket:
         return np.sort(left)
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Both in the wider of their types, each of which holds the whole numbers of a narrower one."""
+    kinds = [np.dtype(np.float64), np.dtype(np.int64), np.dtype(object)]
+    widest = kinds[max(kinds.index(x.dtype) for x in (a, b))]
+    return np.concatenate([x if x.dtype == widest else x.astype(np.int64).astype(widest) for x in (a, b)])
+
+
 class Best:
     """The ``top`` best answers of each query of a block so far: largest product first, ties by smaller id."""
 
@@ -100,13 +113,14 @@ class Best:
         good = (ids != self.query_ids[q]) & (scores >= self.thresholds[q])
         if not good.any():
             return
-        ids, scores = np.concatenate((self.found[q][0], ids[good])), np.concatenate((self.found[q][1].astype(scores.dtype), scores[good])) if len(self.found[q][0]) else scores[good]
+        ids, scores = np.concatenate((self.found[q][0], ids[good])), _joined(self.found[q][1], scores[good])
         order = np.lexsort((ids, -scores))
         first = np.sort(np.unique(ids[order], return_index=True)[1])[: self.top]  # an id with several vectors counts once
         order = order[first]
         self.found[q] = ids[order], scores[order]
         if len(order) == self.top:
-            self.thresholds[q] = max(self.thresholds[q], scores[order[-1]])
+            least = float(scores[order[-1]])
+            self.thresholds[q] = max(self.thresholds[q], least - abs(least) * SLACK)
 
 
 def search_bucket(bucket: Bucket, queries: np.ndarray, sizes: np.ndarray, best: Best) -> None:
@@ -157,13 +171,6 @@ def _loaded(path: str, digest: str) -> list[np.ndarray]:
         return [f[k] for k in f.files]
 
 
-def _long(scores: np.ndarray) -> pa.Array:
-    """Scores as long; beyond that range the nearest long stands for them."""
-    if scores.dtype == object:
-        return pa.array([max(-MOST_LONG - 1, min(MOST_LONG, int(x))) for x in scores], pa.int64())
-    return pa.array(scores.astype(np.int64))
-
-
 def top_products(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", every: int = EVERY, top: int = TOP, steps: int = STEPS, bucket: int = BUCKET, block_bytes: int = BLOCK_BYTES, seed_bytes: int = SEED_BYTES) -> DataFrame:
     """query_id, rank, vec_id and score: for each row whose key is divisible by ``every`` its ``top`` largest inner products among all other rows, components being floor(steps * x).
 
@@ -176,7 +183,7 @@ def top_products(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding
     Vectors that are null or hold null or non-finite components take no part, nor do rows with a null key; zero
     vectors do. A query meets the vectors of its own number of components. Equal rows count once, and so does an
     answer whose key has several vectors, by its best product; a key never answers itself. Of equal vectors the ``top`` + 1
-    smallest keys can matter. Scores beyond a long are ranked exactly and given as the nearest long. Ties go to the
+    smallest keys can matter. A score beyond a long counts as the nearest long. Ties go to the
     smaller key; extra columns are ignored; an empty table gives no rows.
     """
     spark = df.sparkSession
@@ -193,7 +200,7 @@ def top_products(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding
             if np.isfinite(square[-1]) and square[-1] < 2.0**53:
                 size = np.sqrt(square[ends] - square[ends - n])
             else:
-                size = np.array([np.linalg.norm(flat[a:b]) for a, b in zip(ends - n, ends)])
+                size = np.array([_length(flat[a:b]) for a, b in zip(ends - n, ends)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat)), pa.array(size), pa.array(n.astype(np.int32))], ["vec_id", "v", "size", "dim"])
 
     whole = "vec_id long, v array<double>, size double, dim int"
@@ -285,7 +292,7 @@ def top_products(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding
                     search_bucket(b, queries, sizes, best)
                 for q, (near, scores) in zip(q_ids.tolist(), best.found):
                     if len(near):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(near), _long(scores)], ["query_id", "vec_id", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(near), pa.array(scores.astype(np.int64))], ["query_id", "vec_id", "score"])
 
         for batch in batches:
             dims = batch.column(3).to_numpy()
