@@ -32,14 +32,6 @@ def group_counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def percentiles(df: DataFrame, value: str, keys: list[str], shares: dict[str, float]) -> DataFrame:
-    """For each group the value at position min(int(share * n), n - 1), from 0, of its sorted values."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = df.filter(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(order) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"))
-    picks = [F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col(value))).alias(name) for name, p in shares.items()]
-    return ranked.groupBy(*keys).agg(*picks, F.max("n").alias("n"))
-
-
 def spread(df: DataFrame, columns: list[str]) -> DataFrame:
     """dimension, least, greatest, mean, spread and n for each of the columns."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("double").alias("v")) for c in columns])).alias("p")

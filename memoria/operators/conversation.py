@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD_BREAK, message_keywords
+from ..scratch import materialize
 from .fold import ordered_fold
+from .ranges import positions
 
 # Windows and thresholds.
 ECHO_WINDOW, ECHO_SIMILARITY = 10, 0.70
@@ -61,12 +63,22 @@ def mentions(messages: DataFrame, *, key: str, sender: str, text: str) -> DataFr
 
 
 def acknowledged(messages: DataFrame, *, key: str, sender: str, text: str, group: list[str] = ()) -> DataFrame:
-    """Mentions with whether the mentioned one sends any of the next ten messages."""
-    ahead = Window.partitionBy(*group).orderBy(key).rowsBetween(1, ACKNOWLEDGE_WITHIN)
-    rows = messages.withColumn("_next", F.transform(F.collect_list(F.lower(F.col(sender).cast("string"))).over(ahead), lambda s: s))
-    names = F.regexp_extract_all(F.lower(text), F.lit(r"@(\w+)"), F.lit(1))
-    found = rows.select(F.col(key).alias("key"), F.lower(F.col(sender).cast("string")).alias("mentioner"), F.explode(names).alias("mentioned"), "_next")
-    return found.select("key", "mentioner", "mentioned", F.array_contains("_next", F.col("mentioned")).alias("acknowledged"))
+    """Mentions with whether the mentioned one sends any of the next ten messages (of the group, where groups are named).
+
+    Messages are numbered over ranges of the key; a mention looks for its name at the ten numbers that follow. ``key`` names a message of a group.
+    """
+    groups = {f"_g{i}": F.col(g) for i, g in enumerate(group)}
+    rows = messages.select(F.col(key).alias("key"), F.lower(F.col(sender).cast("string")).alias("sender"), F.col(text).alias("text"), *[c.alias(g) for g, c in groups.items()])
+    rows = positions(rows, list(groups), ["key"])
+    names = F.regexp_extract_all(F.lower("text"), F.lit(r"@(\w+)"), F.lit(1))
+    found = rows.select(*groups, "_position", "key", F.col("sender").alias("mentioner"), F.posexplode(names).alias("_nth", "mentioned"))
+    sent = rows.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("_position").alias("_at"), F.col("sender").alias("_sender")).distinct()
+    ahead = found.withColumn("_at", F.explode(F.sequence(F.col("_position") + 1, F.col("_position") + ACKNOWLEDGE_WITHIN)))
+    same = (ahead["_at"] == sent["_at"]) & (ahead["mentioned"] == sent["_sender"])
+    for g in groups:
+        same = same & ahead[g].eqNullSafe(sent[f"_{g}"])
+    met = ahead.join(sent, same, "left").groupBy(*groups, "_position", "_nth").agg(F.first("key").alias("key"), F.first("mentioner").alias("mentioner"), F.first("mentioned").alias("mentioned"), F.max(F.col("_sender").isNotNull()).alias("acknowledged"))
+    return met.select("key", "mentioner", "mentioned", "acknowledged")
 
 
 # How a vote is worded; the first pattern that matches counts.
@@ -136,8 +148,8 @@ def threads(messages: DataFrame, *, key: str = "id", parent: str = "parent_id",
         hop = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
         state = state.join(hop, "at").select("id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))
         size *= 2
-        if size > 64 and messages.sparkSession.conf.get("spark.checkpoint.dir", None):
-            state = state.checkpoint()
+        if size > 64:
+            state = materialize(state, "threads")
     return state.select("id", F.col("at").alias("root"), "depth")
 
 
@@ -179,15 +191,16 @@ def next_query(log: DataFrame, *, user: str, query: str, order: list[str]) -> Da
 
 
 def budget_prefix(df: DataFrame, keys: list[str], order: list, size: str, budget: int) -> DataFrame:
-    """Each group's rows in order until the first that would pass the budget."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("used", F.sum(size).over(window.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("used") <= budget)
+    """Each group's rows in order until the first that would pass the budget, with ``used``, the sizes up to and with a row. Sizes are not negative; null sizes count 0."""
+    placed = positions(df, keys, order, {"used": size})
+    out = placed.withColumn("used", F.col("_before_used") + F.coalesce(F.col(size), F.lit(0))).filter(F.col("used") <= budget)
+    return out.select(*[c for c in df.columns if c != "used"], "used")
 
 
 def tiers(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """full for the first 30 % of each group's rows, brief for the next 40 %, else mention."""
-    position = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return df.withColumn("tier", F.when(position < 0.3, "full").when(position < 0.7, "brief").otherwise("mention"))
+    share = F.col("_position") / F.col("_count")
+    return positions(df, keys, order).select(*[c for c in df.columns if c != "tier"], F.when(share < 0.3, "full").when(share < 0.7, "brief").otherwise("mention").alias("tier"))
 
 
 def packed(text: Column, tier: Column) -> Column:

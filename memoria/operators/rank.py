@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import index
+from ..functions import hashing, text
+from ..scratch import materialize
 
 # The constants of the ranking stages.
 COVERAGE_FLOOR = 0.15
@@ -26,7 +27,6 @@ CODE_WORDS, PYTHON_WORDS = {"python", "code", ".py", "py", "script", "scripts",
 #: Factors of Python files, other code files and other files, for a query about Python and for one about code.
 CODE_FACTORS = {True: (2.10, 0.35, 0.20), False: (1.55, 1.08, 0.72)}
 PPR_WEIGHT, SEEDS = 0.3, 5
-CODE_EXTENSIONS = {"py": 1.3, "js": 1.2, "ts": 1.2, "rs": 1.2, "md": 0.9, "log": 0.8}
 
 
 def recall(annotations: DataFrame, terms: list[str]) -> DataFrame:
@@ -35,18 +35,35 @@ def recall(annotations: DataFrame, terms: list[str]) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.log1p(F.sum("weight")).alias("score"), F.sort_array(F.collect_set("token")).alias("matched"))
 
 
-def bm25(docs: DataFrame, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """(doc_id, bm25, matched, length) of the documents that hold a term. One pass counts words; statistics are one small row."""
-    counts = index.token_counts(docs)
-    lengths = counts.groupBy("doc_id").agg(F.sum("freq").alias("length"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
-    hits = counts.filter(F.col("token").isin(terms))
-    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # The statistics are a single row, and df has a row for each term of the query.
-    scored = hits.join(F.broadcast(df), "token").join(lengths, "doc_id").crossJoin(F.broadcast(corpus))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    tf = F.col("freq") * (k1 + 1) / (F.col("freq") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    return scored.groupBy("doc_id").agg(F.sum(idf * tf).alias("bm25"), F.count(F.lit(1)).alias("matched"), F.max("length").alias("length"))
+def bm25_term(freq: Column, df: Column, n: Column, length: Column, avg_length: Column, k1: float = K1, b: float = B) -> Column:
+    """What one term adds to the score of a document that holds it ``freq`` times."""
+    idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
+    return idf * freq * (k1 + 1) / (freq + k1 * (1 - b + b * length / avg_length))
+
+
+def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, bm25, matched, length) of the documents that hold a term.
+
+    Words are counted inside each row, so no word is shuffled: a narrow table of lengths and frequencies is written,
+    and its statistics are one small row.
+    """
+    def times(words: Column, term: str) -> Column:
+        return F.size(F.filter(words, lambda w: w == F.lit(term))).cast("long")
+
+    def counted(words: Column) -> Column:
+        return F.struct(F.size(words).cast("long").alias("length"), *[times(words, t).alias(f"f{i}") for i, t in enumerate(terms)])
+
+    keywords = F.filter(text.tokens(F.col("text")), text.is_keyword)
+    rows = materialize(docs.select("doc_id", hashing.bound(keywords, counted).alias("c")).select("doc_id", "c.*").filter("length > 0"), "frequencies")
+    freqs = [F.col(f"f{i}") for i in range(len(terms))]
+    corpus = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"), *[F.count_if(f > 0).alias(f"df{i}") for i, f in enumerate(freqs)])
+    held = rows.filter(F.greatest(F.lit(0), F.lit(0), *freqs) > 0).crossJoin(F.broadcast(corpus))
+    zero = F.lit(0.0)
+    score, matched = zero, F.lit(0).cast("long")
+    for i, f in enumerate(freqs):
+        score = score + F.when(f > 0, bm25_term(f, F.col(f"df{i}"), F.col("n"), F.col("length"), F.col("avg_length"))).otherwise(zero)
+        matched = matched + F.when(f > 0, 1).otherwise(0)
+    return held.select("doc_id", score.alias("bm25"), matched.alias("matched"), "length")
 
 
 def coverage(matched: Column, terms: int) -> Column:
@@ -79,14 +96,6 @@ def authority(source: Column, weights: dict[str, float] = AUTHORITY) -> Column:
     return out
 
 
-def code_intent(path: Column, weights: dict[str, float] = CODE_EXTENSIONS) -> Column:
-    extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    out = F.lit(1.0)
-    for key, w in weights.items():
-        out = F.when(extension == key, w).otherwise(out)
-    return out
-
-
 def code_boost(path: Column, terms: list[str]) -> Column:
     """A factor by a file's extension, for queries about code; 1 for other queries and files without one."""
     asked = {t.lower().strip() for t in terms}
@@ -174,10 +183,13 @@ def topk(df: DataFrame, score: str, key: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(score), key).limit(n)
 
 
+def lexical(found: DataFrame, terms: list[str], *, source: str, limit: int) -> DataFrame:
+    """The best ``limit`` of (doc_id, bm25, matched, length, chars, source) by BM25, coverage, length and authority."""
+    score = blend(F.log1p("matched"), F.col("bm25")) * coverage(F.col("matched"), len(terms)) * length_norm(F.col("length"), F.col("chars")) * authority(F.col(source))
+    return topk(found.select("doc_id", source, F.round(score, 6).alias("score"), "matched"), "score", "doc_id", limit)
+
+
 def search(docs: DataFrame, terms: list[str], *, source: str = "source", limit: int = 20) -> DataFrame:
-    """The whole lexical pipeline: BM25, coverage, length and authority, best ``limit`` documents."""
-    found = bm25(docs, terms)
+    """The lexical part of the ranking over texts: BM25, coverage, length and authority, best ``limit`` documents."""
     facts = docs.select("doc_id", source, F.length("text").alias("chars"))
-    scored = found.join(facts, "doc_id")
-    score = blend(F.log1p("matched"), F.col("bm25")) * coverage(F.col("matched"), len(terms)) * length_norm(F.col("length"), F.col("chars")) * authority(F.col(source))
-    return topk(scored.select("doc_id", source, F.round(score, 6).alias("score"), "matched"), "score", "doc_id", limit)
+    return lexical(bm25(docs, terms).join(facts, "doc_id"), terms, source=source, limit=limit)

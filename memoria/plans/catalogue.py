@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import emotion, hashing, safety, text, transforms
-from ..operators import aggregates, conversation, graph, index, rank, relational
+from ..operators import aggregates, conversation, graph, index, ranges, rank, relational
 from ..sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -408,7 +408,7 @@ def conditional_counts(spark, d):
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(value) FILTER (i = least(n // 2, n - 1)) AS p50, max(value) FILTER (i = least(floor(n * 0.95)::BIGINT, n - 1)) AS p95, max(n) AS n FROM r GROUP BY event_type")
 def latency_percentiles(spark, d):
-    return aggregates.percentiles(table(spark, d, "events"), "value", ["event_type"], {"p50": 0.5, "p95": 0.95})
+    return ranges.percentiles(table(spark, d, "events"), "value", ["event_type"], {"p50": 0.5, "p95": 0.95})
 
 
 def _usage(spark, d):

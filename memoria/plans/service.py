@@ -467,3 +467,30 @@ def verify_claims(spark, d):
     e = F.col("event_id")
     claims = table(spark, d, "events").select(e.alias("key"), F.element_at(F.array(*map(F.lit, ["mention", "vote_count", "vote_target", "presence", "response"])), (e % 5 + 1).cast("int")).alias("kind"), F.concat(F.lit("user_"), F.col("user_id") % 30).alias("subject"), F.col("event_type").alias("target"), (e % 30).alias("number"), (e % 2 == 0).alias("says"))
     return conversation.verify(claims, _messages(spark, d), key="key", sender="sender", text="text").select("key", "kind", "verified", "severity")
+
+
+# -- the stored index -----------------------------------------------------------------------------
+
+def _stored(spark, d):
+    """An index of the documents that was built from another state of them and then brought up to date twice."""
+    from uuid import uuid4
+
+    from ..operators.stored import StoredIndex
+    from ..scratch import scratch_path
+
+    docs = table(spark, d, "documents")
+    kept = StoredIndex(spark, f"stored_{uuid4().hex}", scratch_path(spark, "stored"))
+    kept.merge(docs.filter("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" ther"))).otherwise(F.col("text"))))
+    kept.merge(docs.filter("doc_id % 5 = 0"), docs.filter("doc_id % 7 = 0").select("doc_id"))
+    kept.sync(docs)
+    return kept
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(bm25, 4) AS bm25, matched, length::BIGINT AS length FROM bm")
+def stored_bm25(spark, d):
+    return _stored(spark, d).bm25(QUERY_TERMS).select("doc_id", F.round("bm25", 4).alias("bm25"), "matched", "length")
+
+
+@query("SELECT doc_id, source, length(text) AS chars, sha256(text) AS hash FROM documents")
+def stored_entries(spark, d):
+    return _stored(spark, d).table("entries").select("doc_id", "source", "chars", "hash")
