@@ -8,6 +8,7 @@ from ..functions import compress, emotion, safety
 from ..operators import aggregates, assembly, conversation, graph, index, links, rank, relational, sync
 from ..sources import tables
 from ..sources.tables import table
+from ..streaming import state
 from .catalogue import _ANNOTATE, _BM25, _MENTION, _MESSAGES, _ORDER_LINKS, _TOKENS, AS_OF, ORACLES, QUERIES, QUERY_TERMS, _as_of, _docs, _emotion_sql, _list, _messages, _order_links, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -494,3 +495,35 @@ def stored_bm25(spark, d):
 @query("SELECT doc_id, source, length(text) AS chars, sha256(text) AS hash FROM documents")
 def stored_entries(spark, d):
     return _stored(spark, d).table("entries").select("doc_id", "source", "chars", "hash")
+
+
+# -- machines that fold a key's rows --------------------------------------------------------------
+
+@query("""WITH e AS (SELECT event_type AS topic, epoch_us(ts) AS t, value AS w FROM events), k AS (SELECT unnest(range(min(t) // 86400000000, max(t) // 86400000000 + 10)) AS k FROM e)
+ SELECT topic, make_timestamp(k * 86400000000) AS as_of, round(sum(w * exp(-(k * 86400000000 - t) / 3.6e9 / 24)), 4) AS heat FROM e, k WHERE k * 86400000000 - t BETWEEN 0 AND 168 * 3600000000 GROUP BY ALL""")
+def heat_series(spark, d):
+    found = state.heat_series(table(spark, d, "events"), topic="event_type", at="ts", weight="value")
+    return found.select("topic", F.col("as_of").cast("timestamp_ntz").alias("as_of"), F.round("heat", 4).alias("heat"))
+
+
+@query()
+def heat_by_event(spark, d):
+    return state.heat(table(spark, d, "events"), topic="event_type", at="ts", weight="value")
+
+
+@query()
+def sentence_buffer(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.timestamp_seconds("turn").alias("at"), F.concat(F.coalesce("text", F.lit("")), F.lit(" ")).alias("piece"))
+    return state.sentences(turns, key="conv_id", at="at", text="piece", order="turn")
+
+
+@query()
+def disclosure_sessions(spark, d):
+    said = F.create_map(*map(F.lit, ["signup", "start", "click", "explore", "view", "ignore", "error", "reject", "purchase", "explore"]))
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", said[F.col("event_type")].alias("response"))
+    return state.disclosure(rows, session="user_id", at="ts", summary="event_id", response="response")
+
+
+@query()
+def file_gate(spark, d):
+    return state.file_gate(table(spark, d, "events").select(F.concat(F.lit("notes/"), "user_id", F.lit(".md")).alias("path"), F.col("ts").alias("at"), F.col("event_type").alias("hash")))
