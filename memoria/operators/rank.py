@@ -106,9 +106,9 @@ def code_boost(path: Column, terms: list[str]) -> Column:
     return F.when(extension == ".py", python).when(extension.isin(CODE_FILES), code).when(extension != "", other).otherwise(1.0)
 
 
-def graph_distance(results: DataFrame, links: DataFrame, *, seeds: int = SEEDS) -> DataFrame:
-    """Results (id, score, explored) with hops, scores raised by the best path of at most two links from the ``seeds`` best."""
-    first = topk(results.select("id", "score"), "score", "id", seeds).select("id")  # a handful
+def graph_distance(results: DataFrame, links: DataFrame, *, seeds: int = SEEDS, start: DataFrame | None = None) -> DataFrame:
+    """Results (id, score, explored) with hops, scores raised by the best path of at most two links from the ``seeds`` best, or from the few of ``start`` (id)."""
+    first = topk(results.select("id", "score"), "score", "id", seeds).select("id") if start is None else start  # a handful
     start = first.select(F.col("id").alias("source_id"))
     one = links.join(F.broadcast(start), "source_id", "left_semi").groupBy(F.col("target_id").alias("id")).agg(F.max("strength").alias("strength"))
     second = links.select(F.col("source_id").alias("middle"), "target_id", F.col("strength").alias("more"))
@@ -155,10 +155,6 @@ def topic_heat(log: DataFrame, as_of: Column, *, topic: str, weight: str, at: st
     return live.groupBy(F.col(topic).alias("topic")).agg(F.sum(F.col(weight) * F.exp(-F.col("age") / HEAT_DECAY)).alias("heat"))
 
 
-def heat_boost(heat: Column) -> Column:
-    return F.least(F.lit(HEAT_CAP), 1 + F.coalesce(heat, F.lit(0.0)))
-
-
 def selection_boost(log: DataFrame, *, key: str, signal: str, weights: dict[str, float] = SELECTION_WEIGHTS) -> DataFrame:
     """(key, boost): 1 + 0.3 log1p of the weighted number of selections."""
     w = F.lit(UNKNOWN_SIGNAL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import compress, emotion, safety
-from ..operators import aggregates, assembly, conversation, graph, index, links, rank, relational, sync
+from ..operators import aggregates, assembly, conversation, graph, index, links, rank, relational, search, sync
 from ..sources import tables
 from ..sources.tables import table
 from ..streaming import state
@@ -527,3 +527,44 @@ def disclosure_sessions(spark, d):
 @query()
 def file_gate(spark, d):
     return state.file_gate(table(spark, d, "events").select(F.concat(F.lit("notes/"), "user_id", F.lit(".md")).alias("path"), F.col("ts").alias("at"), F.col("event_type").alias("hash")))
+
+
+# -- one search -----------------------------------------------------------------------------------
+
+_ASKED = [*QUERY_TERMS, "latest", "code"]
+_PATH = "['notes/a.py', 'b.js', 'c.md', 'plain'][doc_id % 4 + 1]"
+_SEARCH = f"""{_TOKENS}, q(t) AS (VALUES {', '.join(f"('{t}')" for t in _ASKED)}),
+ docs AS (SELECT count(*)::DOUBLE AS docs FROM documents), sizes AS (SELECT doc_id, count(*) AS n FROM ann GROUP BY 1), mean AS (SELECT avg(n) AS avg_n FROM sizes),
+ hit AS (SELECT doc_id, token, weight FROM ann WHERE token IN (SELECT t FROM q)), dfs AS (SELECT token, count(*) AS df FROM hit GROUP BY 1),
+ warm AS (SELECT ['ther', 'eran', 'anhe', 'zzz'][event_id % 4 + 1] AS topic, round(sum(value * exp(-{{age}} / 24.0)), 3) AS heat FROM events WHERE event_id % 3 <> 1 AND {{age}} BETWEEN 0 AND 168 GROUP BY 1),
+ hot AS (SELECT greatest(max(heat), 0) AS most FROM warm WHERE topic IN (SELECT t FROM q)),
+ base AS (SELECT h.doc_id, sum(weight) AS total, count(*) AS matched, any_value(n) AS n, sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * n / avg_n))) AS lexical, sum(coalesce(heat, 0)) AS held
+   FROM hit h JOIN sizes USING (doc_id) JOIN dfs USING (token) LEFT JOIN warm ON topic = token, docs, mean GROUP BY h.doc_id),
+ lex AS (SELECT doc_id, round(total, 9) AS total, (0.6 * ln(1 + total) * (0.15 + 0.85 * pow(matched / 5.0, 1.5)) * CASE WHEN most > 0 THEN 1 + 0.5 * least(held / most, 1) ELSE 1 END + 0.4 * lexical) / (1 + ln(n)) / (1 + 0.15 * ln(greatest(length(text), 1))) AS s
+   FROM base JOIN documents USING (doc_id), hot),
+ links AS (SELECT DISTINCT l_suppkey AS source_id, l_partkey % 500 AS target_id, 0.3 + 0.1 * (l_partkey % 7) AS strength FROM lineitem), best AS (SELECT source_id, target_id, max(strength) AS strength FROM links GROUP BY ALL),
+ seeds AS (SELECT doc_id AS id FROM lex ORDER BY total DESC, doc_id LIMIT 5), one AS (SELECT target_id AS id, max(strength) AS strength FROM best JOIN seeds ON source_id = seeds.id GROUP BY 1),
+ two AS (SELECT b.target_id AS id, max(round(one.strength * b.strength, 9)) AS strength FROM one JOIN best b ON b.source_id = one.id GROUP BY 1),
+ near AS (SELECT id, min(hops) AS hops, arg_max(strength, (-hops, strength)) AS strength FROM (SELECT id, 1 AS hops, strength FROM one UNION ALL SELECT id, 2, strength FROM two) WHERE id NOT IN (SELECT id FROM seeds) GROUP BY id),
+ sel AS (SELECT user_id AS doc_id, 1 + 0.3 * ln(1 + sum(CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'click' THEN 0.5 ELSE 0.3 END)) AS boost FROM events GROUP BY 1),
+ rej AS (SELECT user_id AS doc_id, greatest(0.2, 1 - sum(0.1 * exp(-({{age}} / 24) / 60.0))) AS penalty FROM events WHERE event_type = 'error' AND {{age}} / 24 BETWEEN 0 AND 180 GROUP BY 1),
+ r AS (SELECT lex.doc_id, round(s * coalesce((1 + strength * pow(0.5, hops - 1)) * CASE WHEN lex.doc_id % 2 = 0 THEN 1.0 ELSE 1.3 END, 1) * (1 + pow(2.0, -((lex.doc_id % 500) / 1.0) / 48)) * coalesce(boost, 1) * coalesce(penalty, 1)
+   * CASE WHEN contains(source, 'research') THEN 1.15 ELSE 1 END * CASE lex.doc_id % 4 WHEN 0 THEN 1.55 WHEN 1 THEN 1.08 WHEN 2 THEN 0.72 ELSE 1 END, 9) AS score
+   FROM lex JOIN documents USING (doc_id) LEFT JOIN near ON near.id = lex.doc_id LEFT JOIN sel USING (doc_id) LEFT JOIN rej USING (doc_id)),
+ other AS (SELECT doc_id FROM hit JOIN documents USING (doc_id) WHERE lang <> 'en' AND trim(lang) <> '' GROUP BY doc_id ORDER BY round(sum(weight), 9) DESC, doc_id LIMIT 5)""".replace("{age}", f"((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 3.6e9)")
+
+
+@query(f"WITH {_SEARCH} SELECT coalesce(r.doc_id, o.doc_id) AS doc_id, round(coalesce(score, 0.5), 6) AS score, o.doc_id IS NOT NULL AS cross_agent FROM r FULL JOIN other o ON r.doc_id = o.doc_id")
+def ranked_search(spark, d):
+    """Every match through all stages: heat, selections and rejections are made of events, links of lines, and times, paths and authors of the documents' columns."""
+    docs, events = _docs(spark, d), table(spark, d, "events")
+    facts = docs.select("doc_id", "source", F.length("text").alias("chars"), F.element_at(F.array(*map(F.lit, ["notes/a.py", "b.js", "c.md", "plain"])), (F.col("doc_id") % 4 + 1).cast("int")).alias("path"),
+                        (_as_of() - F.make_interval(hours=(F.col("doc_id") % 500).cast("int"))).alias("at"), F.col("lang").alias("author"))
+    topic = F.element_at(F.array(*map(F.lit, ["ther", "eran", "anhe", "zzz"])), (F.col("event_id") % 4 + 1).cast("int"))
+    heat = events.select(topic.alias("topic"), F.element_at(F.array(*map(F.lit, ["*", "someone", "en"])), (F.col("event_id") % 3 + 1).cast("int")).alias("agent"), F.col("value").alias("weight"), F.col("ts").alias("at"))
+    signal = F.element_at(F.create_map(*map(F.lit, ["purchase", "user_selected", "click", "curator_suggested", "view", "ranking_promoted", "error", "odd", "signup", "odd"])), F.col("event_type"))
+    links = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source_id"), (F.col("l_partkey") % 500).alias("target_id"), (0.3 + 0.1 * (F.col("l_partkey") % 7)).alias("strength")).groupBy("source_id", "target_id").agg(F.max("strength").alias("strength"))
+    corpus = search.Corpus(
+        index.keywords(docs).select("doc_id", "token", "weight"), facts, heat=heat, selections=events.select(F.col("user_id").alias("doc_id"), signal.alias("signal")),
+        rejections=events.filter("event_type = 'error'").select(F.col("user_id").alias("doc_id"), F.col("ts").alias("at")), links=links, explored=docs.filter("doc_id % 2 = 0").select("doc_id"))
+    return search.ranked_search(corpus, _ASKED, as_of=_as_of(), agent="en", limit=1 << 30).withColumn("score", F.round("score", 6))
