@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .hashing import bound
 
@@ -130,13 +131,27 @@ def text_info(text: Column) -> dict[str, Column]:
 
 
 def chunk_text(text: str, most: int = 100_000) -> list[str]:
-    """Pieces of at most ``most`` characters, cut at a blank line, a line feed or a space past the half."""
+    """Pieces of at most ``most`` characters, cut before a blank line, a line feed or a space that is not in the first half; line feeds at a cut go. The pieces of a text without line feeds make up the text."""
     out = []
     while len(text) > most:
-        at = next((p for p in (text.rfind(mark, 0, most) for mark in ("\n\n", "\n", " ")) if p > most // 2), most)
-        out.append(text[:at].strip())
-        text = text[at:].lstrip()
-    return [x for x in [*out, text] if x]
+        at = next((p for p in (text.rfind(mark, 0, most) for mark in ("\n\n", "\n", " ")) if p >= most // 2), most)
+        out.append(text[:max(at, 1)])
+        text = text[max(at, 1) :].lstrip("\n")
+    return [*out, text] if text or not out else out
+
+
+@F.udtf(returnType=T.StructType([T.StructField("n", T.IntegerType()), T.StructField("chunk", T.StringType())]))
+class Chunks:
+    """The pieces of a text as rows, for a lateral join: ``n`` from 0. A null text has none."""
+
+    def eval(self, text: str, most: int):
+        for n, chunk in enumerate(chunk_text(text, most) if text is not None else ()):
+            yield n, chunk
+
+
+def chunks(df: DataFrame, text: str, most: int = 100_000) -> DataFrame:
+    """``df`` with n and chunk, a row for each piece of a text; rows with a null text go."""
+    return df.lateralJoin(Chunks(F.col(text).outer(), F.lit(most)))
 
 
 # Control characters that chat input loses, and its length.

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import compress, emotion, safety
-from ..operators import aggregates, assembly, conversation, graph, index, links, rank, relational, search, sync
+from ..functions import compress, emotion, safety, text
+from ..operators import aggregates, assembly, code, conversation, graph, index, links, rank, relational, search, sync
 from ..sources import tables
 from ..sources.tables import table
 from ..streaming import state
@@ -568,3 +568,48 @@ def ranked_search(spark, d):
         index.keywords(docs).select("doc_id", "token", "weight"), facts, heat=heat, selections=events.select(F.col("user_id").alias("doc_id"), signal.alias("signal")),
         rejections=events.filter("event_type = 'error'").select(F.col("user_id").alias("doc_id"), F.col("ts").alias("at")), links=links, explored=docs.filter("doc_id % 2 = 0").select("doc_id"))
     return search.ranked_search(corpus, _ASKED, as_of=_as_of(), agent="en", limit=1 << 30).withColumn("score", F.round("score", 6))
+
+
+# -- files and pieces -----------------------------------------------------------------------------
+
+_RFIND = lambda mark, n: f"(CASE WHEN strpos(reverse(left(rest, 1000)), {mark}) > 0 THEN 1001 - strpos(reverse(left(rest, 1000)), {mark}) - {n} ELSE -1 END)"
+_CUT = f"CASE WHEN {_RFIND('chr(10) || chr(10)', 2)} >= 500 THEN {_RFIND('chr(10) || chr(10)', 2)} WHEN {_RFIND('chr(10)', 1)} >= 500 THEN {_RFIND('chr(10)', 1)} WHEN {_RFIND(repr(' '), 1)} >= 500 THEN {_RFIND(repr(' '), 1)} ELSE 1000 END"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, 0 AS n, text AS rest, {_CUT.replace('rest', 'text')} AS cut FROM documents WHERE text IS NOT NULL
+ UNION ALL SELECT doc_id, n, rest, {_CUT} FROM (SELECT doc_id, n + 1 AS n, ltrim(substr(rest, cut + 1), chr(10)) AS rest FROM c WHERE length(rest) > 1000))
+ SELECT doc_id, n, md5(CASE WHEN length(rest) > 1000 THEN left(rest, cut) ELSE rest END) AS chunk FROM c WHERE rest <> '' OR n = 0""")
+def document_chunks(spark, d):
+    return text.chunks(_docs(spark, d).select("doc_id", "text"), "text", 1000).select("doc_id", "n", F.md5(F.col("chunk").cast("binary")).alias("chunk"))
+
+
+def _scripts(spark, d):
+    """Pages as files: every third one a Python file, every third a script."""
+    suffix = F.element_at(F.array(*map(F.lit, [".py", ".js", ".html"])), (F.col("page_id") % 3 + 1).cast("int"))
+    return table(spark, d, "pages").select(F.concat(F.lit("site"), (F.col("page_id") % 7).cast("string"), F.lit("/p"), F.col("page_id").cast("string"), suffix).alias("path"), F.col("html").alias("content"))
+
+
+@query()
+def code_strip(spark, d):
+    return code.strip_code(_scripts(spark, d)).select("key", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query()
+def code_structure(spark, d):
+    return code.code_structure(_scripts(spark, d)).select("key", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query()
+def code_context(spark, d):
+    return code.line_context(_scripts(spark, d), "href").select("key", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query()
+def project_summaries(spark, d):
+    found = code.project_summary(code.file_summaries(_scripts(spark, d)), project=F.split_part("path", F.lit("/"), F.lit(1)))
+    return found.select("project", "files", "lines", "functions", "classes", F.to_json("kinds").alias("kinds"), F.size("todos").alias("todos"))
+
+
+@query()
+def table_sizes(spark, d):
+    return code.table_sizes({t: table(spark, d, t) for t in tables.TABLES})
