@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
-from ..functions import hashing, text
+from ..functions import emotion, hashing, text
 
 # Weights of the steps that annotate a document, in the order in which the first to name a token wins.
-HASHTAG, MENTION, PROJECT, AUTHOR, INTENT, KEYWORD = range(1, 7)
-WEIGHTS = {HASHTAG: 2.0, MENTION: 1.5, PROJECT: 2.0, AUTHOR: 1.5, INTENT: 1.0}
+HASHTAG, MENTION, PROJECT, AGENT, AUTHOR, INTENT, KEYWORD, METADATA, EMOTION = range(1, 10)
+WEIGHTS = {HASHTAG: 2.0, MENTION: 1.5, PROJECT: 2.0, AGENT: 2.5, AUTHOR: 1.5, INTENT: 1.0, METADATA: 1.5}
+# Fixed value: characters that a text needs for emotions.
+EMOTIONAL_CHARS = 20
 # Technical terms that are looked for as substrings; callers add their own.
 TERMS = ["api", "websocket", "database", "backup", "sync", "migration", "python", "rust", "task", "bug", "fix", "feature", "review", "deploy", "test", "channel", "message", "webhook"]
 
@@ -37,29 +39,51 @@ def keywords(docs: DataFrame, most: int = text.MAX_ANNOTATIONS) -> DataFrame:
     return ranked.select("doc_id", "token", "freq", weight.alias("weight"), "rank")
 
 
-def annotate(docs: DataFrame, *, author: str | None = None, terms: list[str] = TERMS, most: int = text.MAX_ANNOTATIONS) -> DataFrame:
+def annotate(docs: DataFrame, *, author: str | None = None, terms: list[str] = TERMS, agents: list[str] = (), metadata: list[str] = (), emotions: bool = False, most: int = text.MAX_ANNOTATIONS) -> DataFrame:
     """All annotations of each document, at most ``most`` by weight: (doc_id, token, step, weight).
 
-    A token is kept from the first step that names it. Ties in weight go to the earlier step, then to the token.
+    In nine steps: hashtags, mentions, project terms, names of ``agents``, the ``author`` column, intents, keywords, columns of
+    ``metadata``, emotions. A token is kept from the first step that names it; a mention that is a hashtag too weighs as a
+    mention. Keywords, the most frequent first, fill up what the steps before them leave of ``most``; what follows may
+    displace lighter ones. Ties in weight go to the earlier step, within hashtags, mentions and keywords to the one found first, then to the token.
     """
-    def found(step: int, pattern: str) -> DataFrame:
-        hits = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("t"))
-        hits = hits.select("doc_id", F.lower("t").alias("token")).filter((F.length("token") >= text.MIN_KEYWORD) & ~F.col("token").isin(text.STOPWORDS))
-        return hits.select("doc_id", "token", F.lit(step).alias("step"), F.lit(WEIGHTS[step]).alias("weight"))
-
-    named = [found(HASHTAG, r"#(\w+)"), found(MENTION, r"(?:^|[\s,.:;!?])@(\w+)")]
-    held = hashing.bound(F.lower("text"), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms])))
-    named.append(docs.select("doc_id", F.explode(held).alias("token"), F.lit(PROJECT).alias("step"), F.lit(WEIGHTS[PROJECT]).alias("weight")))
+    usual = lambda token: (F.length(token) >= text.MIN_KEYWORD) & ~F.col(token).isin(text.STOPWORDS)
+
+    def step(number: int, rows: DataFrame, weight: Column | None = None, place: Column | None = None) -> DataFrame:
+        return rows.select("doc_id", "token", F.lit(number).alias("step"), (F.lit(0) if place is None else place).cast("int").alias("place"), (F.lit(WEIGHTS.get(number)) if weight is None else weight).cast("double").alias("weight"))
+
+    def matched(pattern: str) -> DataFrame:
+        hits = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("place", "t"))
+        return hits.select("doc_id", "place", F.lower("t").alias("token"))
+
+    def held(names: list[str]) -> DataFrame:
+        found = hashing.bound(F.lower("text"), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in names])))
+        return docs.select("doc_id", F.explode(found).alias("token"))
+
+    known = F.col("token").isin([a.lower() for a in agents]) if agents else F.lit(False)
+    place = F.col("place")
+    every = step(HASHTAG, matched(r"#(\w+)").filter(usual("token")), place=place)
+    every = every.union(step(MENTION, matched(r"(?m)(?:^|[\s,.:;!?])@(\w+)").filter(known | usual("token")), F.when(known, WEIGHTS[AGENT]).otherwise(WEIGHTS[MENTION]), place))
+    every = every.union(step(PROJECT, held(terms)))
+    if agents:
+        every = every.union(step(AGENT, held([a.lower() for a in agents])))
     if author:
-        named.append(docs.filter(F.trim(author) != "").select("doc_id", F.lower(F.trim(author)).alias("token"), F.lit(AUTHOR).alias("step"), F.lit(WEIGHTS[AUTHOR]).alias("weight")))
-    named.append(docs.select("doc_id", F.explode(text.intents(F.col("text"))).alias("token"), F.lit(INTENT).alias("step"), F.lit(WEIGHTS[INTENT]).alias("weight")))
-    named.append(keywords(docs, 2 * most).select("doc_id", "token", F.lit(KEYWORD).alias("step"), "weight"))
-    every = named[0]
-    for more in named[1:]:
-        every = every.unionByName(more)
-    first = every.groupBy("doc_id", "token").agg(F.min(F.struct("step", "weight")).alias("w")).select("doc_id", "token", "w.step", "w.weight")
-    order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "step", "token")
-    return first.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).drop("n")
+        every = every.union(step(AUTHOR, docs.filter(F.trim(author) != "").select("doc_id", F.lower(F.trim(author)).alias("token"))))
+    every = every.union(step(INTENT, docs.select("doc_id", F.explode(text.intents(F.col("text"))).alias("token"))))
+    every = every.union(step(KEYWORD, keywords(docs, 2 * most), F.col("weight"), F.col("rank")))
+    for i, c in enumerate(metadata):
+        named = docs.select("doc_id", F.replace(F.lower(F.trim(c)), F.lit(" "), F.lit("_")).alias("token")).filter(usual("token"))
+        every = every.union(step(METADATA, named, place=F.lit(i)))
+    if emotions:
+        made = docs.filter(F.length("text") >= EMOTIONAL_CHARS).select("doc_id", F.posexplode(emotion.emotion_annotations(emotion.emotion_scores(F.col("text")))).alias("place", "e"))
+        every = every.union(step(EMOTION, made.select("doc_id", "place", "e.token", "e.weight"), F.col("weight"), place))
+    first = every.groupBy("doc_id", "token").agg(F.min(F.struct("step", "place", "weight")).alias("w"), F.max(F.when(F.col("step") == MENTION, F.col("weight"))).alias("mention"))
+    first = first.select("doc_id", "token", "w.step", "w.place", F.when(F.col("w.step") <= MENTION, F.coalesce("mention", "w.weight")).otherwise(F.col("w.weight")).alias("weight"))
+    whole, own = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "step").orderBy("place")
+    room = most - F.count_if(F.col("step") < KEYWORD).over(whole)
+    first = first.withColumn("room", room).withColumn("nth", F.row_number().over(own)).filter((F.col("step") != KEYWORD) | (F.col("nth") <= F.col("room")))
+    order = whole.orderBy(F.desc("weight"), "step", "place", "token")
+    return first.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("doc_id", "token", "step", "weight")
 
 
 def document_frequency(annotations: DataFrame) -> DataFrame:

@@ -108,18 +108,27 @@ def annotate_intents(spark, d):
     return _docs(spark, d).select("doc_id", F.explode(text.intents(F.col("text"))).alias("intent"))
 
 
-_ANNOTATE = rf"""{_TOKENS.replace('rnk <= 25', 'rnk <= 50')},
-named AS (
-  SELECT doc_id, lower(unnest(regexp_extract_all(text, '#(\w+)', 1))) AS token, 1 AS step, 2.0 AS weight FROM documents
-  UNION ALL SELECT doc_id, lower(unnest(regexp_extract_all(text, '(?:^|[\s,.:;!?])@(\w+)', 1))), 2, 1.5 FROM documents),
+def _annotate_sql(more: str = "", agents: list[str] = ()) -> str:
+    """The steps as SQL; ``more`` are rows of the last two."""
+    known = f"token IN ({_list(agents)})" if agents else "false"
+    usual = f"length(token) >= 3 AND token NOT IN ({_list(text.STOPWORDS)})"
+    held = lambda step, weight, names: f"UNION ALL SELECT doc_id, t, {step}, 0, {weight} FROM documents, (SELECT unnest([{_list(names)}]) AS t) WHERE contains(lower(text), t)"
+    return rf"""{_TOKENS.replace('rnk <= 25', 'rnk <= 50')},
+tags AS (SELECT doc_id, lower(unnest(l)) AS token, generate_subscripts(l, 1) AS place FROM (SELECT doc_id, regexp_extract_all(text, '#(\w+)', 1) AS l FROM documents)),
+said AS (SELECT doc_id, lower(unnest(l)) AS token, generate_subscripts(l, 1) AS place FROM (SELECT doc_id, regexp_extract_all(text, '(?m)(?:^|[\s,.:;!?])@(\w+)', 1) AS l FROM documents)),
 every AS (
-  SELECT * FROM named WHERE length(token) >= 3 AND token NOT IN ({_list(text.STOPWORDS)})
-  UNION ALL SELECT doc_id, t, 3, 2.0 FROM documents, (SELECT unnest([{_list(index.TERMS)}]) AS t) WHERE contains(lower(text), t)
-  UNION ALL SELECT doc_id, lower(trim(lang)), 4, 1.5 FROM documents WHERE trim(lang) <> ''
-  UNION ALL SELECT doc_id, unnest(list_filter([{_INTENT_SQL}], lambda x: x IS NOT NULL)), 5, 1.0 FROM documents
-  UNION ALL SELECT doc_id, token, 6, weight FROM ann),
-firsts AS (SELECT doc_id, token, min(step) AS step, arg_min(weight, step) AS weight FROM every GROUP BY doc_id, token),
-annotated AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, step, token) AS n FROM firsts) WHERE n <= 25)"""
+  SELECT doc_id, token, 1 AS step, place, 2.0 AS weight FROM tags WHERE {usual}
+  UNION ALL SELECT doc_id, token, 2, place, CASE WHEN {known} THEN 2.5 ELSE 1.5 END FROM said WHERE {known} OR ({usual})
+  {held(3, 2.0, index.TERMS)} {held(4, 2.5, agents) if agents else ''}
+  UNION ALL SELECT doc_id, lower(trim(lang)), 5, 0, 1.5 FROM documents WHERE trim(lang) <> ''
+  UNION ALL SELECT doc_id, unnest(list_filter([{_INTENT_SQL}], lambda x: x IS NOT NULL)), 6, 0, 1.0 FROM documents
+  UNION ALL SELECT doc_id, token, 7, rnk, weight FROM ann {more}),
+firsts AS (SELECT doc_id, token, min(step) AS step, arg_min(place, (step, place)) AS place, CASE WHEN min(step) <= 2 THEN coalesce(max(weight) FILTER (step = 2), arg_min(weight, (step, place))) ELSE arg_min(weight, (step, place)) END AS weight FROM every GROUP BY doc_id, token),
+roomy AS (SELECT *, 25 - count(*) FILTER (step < 7) OVER (PARTITION BY doc_id) AS room, row_number() OVER (PARTITION BY doc_id, step ORDER BY place) AS nth FROM firsts),
+annotated AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, step, place, token) AS n FROM roomy WHERE step <> 7 OR nth <= room) WHERE n <= 25)"""
+
+
+_ANNOTATE = _annotate_sql()
 
 
 @query(f"WITH {_ANNOTATE} SELECT doc_id, token, step, round(weight, 4) AS weight FROM annotated")

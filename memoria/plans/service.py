@@ -9,7 +9,7 @@ from ..operators import aggregates, assembly, code, conversation, graph, index,
 from ..sources import tables
 from ..sources.tables import table
 from ..streaming import state
-from .catalogue import _ANNOTATE, _BM25, _MENTION, _MESSAGES, _ORDER_LINKS, _TOKENS, AS_OF, ORACLES, QUERIES, QUERY_TERMS, _as_of, _docs, _emotion_sql, _list, _messages, _order_links, query
+from .catalogue import _ANNOTATE, _annotate_sql, _BM25, _MENTION, _MESSAGES, _ORDER_LINKS, _TOKENS, AS_OF, ORACLES, QUERIES, QUERY_TERMS, _as_of, _docs, _emotion_sql, _list, _messages, _order_links, query
 
 __all__ = ["ORACLES", "QUERIES"]
 _DIMS = [n.lower() for n in emotion.DIMENSIONS]
@@ -613,3 +613,19 @@ def project_summaries(spark, d):
 @query()
 def table_sizes(spark, d):
     return code.table_sizes({t: table(spark, d, t) for t in tables.TABLES})
+
+
+# -- all steps of annotation ----------------------------------------------------------------------
+
+_AGENTS = ["ther", "eran"]
+_MORE = f"""UNION ALL SELECT doc_id, 'chat_' || lang, 8, 0, 1.5 FROM documents UNION ALL SELECT doc_id, 'emotion_' || dim, 9, r - 1, {_TWO('least(score, 5.0)')} FROM felt WHERE r <= 5
+  UNION ALL SELECT doc_id, 'dominant_' || dim, 9, 99, {_TWO('least(score * 1.5, 5.0)')} FROM felt WHERE r = 1 AND score > 1"""
+
+
+@query(f"""WITH documents AS (SELECT conv_id * 1000 + turn AS doc_id, text, role AS lang FROM conversations),
+ e AS ({_emotion_sql('doc_id, text').replace('FROM conversations', 'FROM documents')}), l AS ({' UNION ALL '.join(f"SELECT doc_id, '{c}' AS dim, {c} AS score, {k} AS k FROM e WHERE length(text) >= 20" for k, c in enumerate(_DIMS))}),
+ felt AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k) AS r FROM l WHERE score > 0.5),
+ {_annotate_sql(_MORE, _AGENTS)} SELECT doc_id, token, step, round(weight, 4) AS weight FROM annotated""")
+def annotate_full(spark, d):
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", F.col("role").alias("lang"), F.concat(F.lit("Chat "), "role").alias("channel"))
+    return index.annotate(rows, author="lang", agents=_AGENTS, metadata=["channel"], emotions=True).withColumn("weight", F.round("weight", 4))
