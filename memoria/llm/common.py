@@ -83,6 +83,16 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def packed(df: DataFrame) -> F.Column:
+    """All columns of ``df`` in one struct, so that no name among them can clash or be read as a path."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns again, from ``row``."""
+    return df.select(*[F.col(f"row.`{c}`") for c in columns])
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about ``limit`` bytes in ``column`` (text or binary): (slice, its bytes, offsets of each row in them). Null counts as empty."""
     for batch in batches:

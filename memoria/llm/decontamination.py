@@ -10,19 +10,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, mix, pieces, scratch_path, words
+from .common import SPACE, documents, mix, packed, pieces, scratch_path, unpacked, words
 from .files import read_file, write_file
 
 #: Edits allowed, as a part of an item's characters.
 EDIT_RATE = 0.1
 TARGET_RECALL = 0.999
-#: Shapes of a walk: (bytes of an item from which on it holds, steps, steps whose byte is part of a key, whether windows begin at
-#: words only). A walk consumes about half a byte a step. Of an item with edits in a tenth of its places some eight bytes in a row are
-#: always whole; long items have that at words often enough.
-SHAPES = [(64, 20, 10, True), (0, 12, 9, False)]
-#: Walks of each shape at most; trial edits of a block's items that tell how many are needed.
-MOST_WALKS = 16
+#: Steps of a walk, and steps whose byte is part of a key. A walk consumes about half a byte a step, and of an item with edits in a
+#: tenth of its places some eight bytes in a row are always whole, however the edits lie.
+STEPS, SAMPLED = 12, 9
+#: Shapes of windows: (bytes of an item from which on it holds, bytes that each of its words may stand for, whether windows begin at words
+#: only). Items with words enough have whole ones between their edits; others are looked at from every byte.
+SHAPES = [(64, 12, True), (0, 0, False)]
+#: Walks that are tried before the items of a shape go to the next one, and from the last one to plain edit distance.
+MOST_WALKS = 32
+#: Trial edits of each kind, of a block's own items, that tell how many walks are needed.
 TRIALS = 400
+KINDS = ["random", "substituted", "inserted", "deleted", "clustered"]
 #: Benchmark bytes that one pass over the documents carries to every task.
 BLOCK_BYTES = 4 << 20
 _FILTER_BITS = 20
@@ -38,7 +42,7 @@ _FOLD[SPACE] = 32
 class Walk:
     """One CGK random walk: at each step the byte under the pointer is the output, and a random bit of (step, byte) moves the pointer on."""
 
-    def __init__(self, seed: int, steps: int, sampled: int):
+    def __init__(self, seed: int, steps: int = STEPS, sampled: int = SAMPLED):
         table = mix(np.arange(steps * 256, dtype=np.uint64) + np.uint64(seed * 1_000_003 + 17)).reshape(steps, 256)
         self.move = (table & np.uint64(1)).astype(np.int32)
         order = np.argsort(mix(np.arange(steps, dtype=np.uint64) + np.uint64(seed * 31 + 5)))
@@ -79,22 +83,43 @@ def edited(text: bytes, edits: int, random: np.random.Generator) -> bytes:
     return bytes(out)
 
 
-def walks_needed(texts: list[bytes], rate: float, shape: tuple[int, int, int, bool], recall: float = TARGET_RECALL) -> int:
-    """How many walks find copies of the items with all the edits that are allowed, counted on random edits of the items themselves."""
-    _, steps, sampled, at_words = shape
+def spread_edits(text: bytes, edits: int, kind: str, random: np.random.Generator) -> bytes:
+    """``text`` with so many edits of one kind: at random places, evenly spaced, or (clustered) one after the other."""
+    if kind == "random" or not edits:
+        return edited(text, edits, random)
+    out = bytearray(text)
+    if kind == "clustered":
+        at = int(random.integers(0, max(1, len(out) - edits)))
+        out[at : at + edits] = b"#" * edits
+        return bytes(out)
+    for j in reversed(range(edits)):
+        at = min(len(out) - 1, int((j + 0.5) * len(text) / edits))
+        out[at : at + (kind != "inserted")] = b"" if kind == "deleted" else b"#"
+    return bytes(out)
+
+
+def walks_needed(texts: list[bytes], rate: float, at_words: bool, recall: float = TARGET_RECALL) -> int:
+    """How many walks find copies of the items with all the edits that are allowed, counted on trial edits of the items themselves; each kind of edits must reach the recall. 0: more than MOST_WALKS."""
     random = np.random.default_rng(11)
-    chosen = [texts[k * len(texts) // TRIALS] for k in range(TRIALS)]
-    pairs = [(t + bytes(steps + 1), b"seven " + edited(t, int(rate * len(t.decode(errors="replace"))), random) + b" more " + bytes(steps)) for t in chosen]
-    sides = [[(data := np.frombuffer(x, np.uint8), anchors(data, np.array([0, len(x) - steps - 1]), at_words)) for x in side] for side in zip(*pairs)]
-    sides = [[(data, at[at < len(data) - steps - 1]) for data, at in side] for side in sides]
+    chosen = [(texts[k * len(texts) // TRIALS], kind) for k in range(TRIALS) for kind in KINDS]
+    pairs = [(t + bytes(STEPS + 1), b"\1 " + spread_edits(t, int(rate * len(t.decode(errors="replace"))), kind, random) + b" \1 " + bytes(STEPS + 1)) for t, kind in chosen]
+    # All sides as one text each, so that a walk is one pass over all of them.
+    keyed = []
+    for side in zip(*pairs):
+        data, sizes = np.frombuffer(b"".join(side), np.uint8), np.array([len(x) for x in side])
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        at = anchors(data, offsets, at_words)
+        owner = np.searchsorted(offsets, at, "right") - 1
+        inside = at < offsets[owner + 1] - STEPS - 1
+        keyed.append((np.concatenate((data, np.zeros(STEPS + 1, np.uint8))), at[inside], owner[inside]))
     found = np.zeros(len(pairs), bool)
     for n in range(1, MOST_WALKS + 1):
-        walk = Walk(n - 1, steps, sampled)
-        for i in np.flatnonzero(~found).tolist():
-            found[i] = np.isin(walk.keys(*sides[0][i]), walk.keys(*sides[1][i])).any()
-        if (~found).sum() <= (1 - recall) * len(pairs):
+        walk = Walk(n - 1)
+        names = [mix(walk.keys(data, at) ^ mix(owner.astype(np.uint64))) for data, at, owner in keyed]
+        found[keyed[0][2][np.isin(names[0], names[1])]] = True
+        if ((~found).reshape(TRIALS, len(KINDS)).sum(0) <= (1 - recall) * TRIALS).all():
             return n
-    return MOST_WALKS
+    return 0
 
 
 def edit_distance_within(item: str, text: str) -> tuple[int, int]:
@@ -142,27 +167,28 @@ class Benchmark:
         #: Items too short for a single edit are looked up as they are, between word ends.
         self.whole = np.flatnonzero(self.allowed == 0).tolist()
         walks = walks or walks_of(items, rate)
-        pad = b"\0" * (max(s[1] for s in SHAPES) + 1)
+        pad = bytes(STEPS + 1)
         data = np.frombuffer(pad.join(self.texts) + pad, np.uint8)
         sizes = np.array([len(t) for t in self.texts])
         begin = np.concatenate(([0], np.cumsum(sizes + len(pad))))[:-1]
         self.tables = []
-        for shape, n, mine in zip(SHAPES, walks, _by_shape(self.texts, rate)):
+        shaped, self.plain = _by_shape(self.texts, rate, walks)
+        for (_, _, at_words), n, mine in zip(SHAPES, walks, shaped):
             owner, offset = [], []
             for k in mine:
-                start = anchors(np.frombuffer(self.texts[k], np.uint8), np.array([0, sizes[k]]), shape[3])
+                start = anchors(np.frombuffer(self.texts[k], np.uint8), np.array([0, sizes[k]]), at_words)
                 owner.append(np.full(len(start), k))
                 offset.append(start)
             if not owner:
                 continue
             owner, offset = np.concatenate(owner), np.concatenate(offset)
             for seed in range(n):
-                walk = Walk(seed, shape[1], shape[2])
+                walk = Walk(seed)
                 key = walk.keys(data, begin[owner] + offset)
                 order = np.argsort(key)
                 seen = np.zeros(1 << _FILTER_BITS, bool)
                 seen[key >> np.uint64(64 - _FILTER_BITS)] = True
-                self.tables.append((shape[3], walk, key[order], owner[order], offset[order], seen))
+                self.tables.append((at_words, walk, key[order], owner[order], offset[order], seen))
 
     def _alike(self, grams: np.ndarray, items: np.ndarray, where: np.ndarray) -> np.ndarray:
         """Which windows have enough of their item's six-byte grams. An edit spoils those around the bytes of one character, so no true match is lost."""
@@ -230,6 +256,12 @@ class Benchmark:
             distance, end = edit_distance_within(self.chars[k], region)
             if distance <= allowed and distance < best.get((r, k), (1 << 30, 0))[0]:
                 best[r, k] = (distance, a + len(region[:end].encode()) - begin)
+        for k in self.plain:
+            for r, (begin, stop) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                region = raw[begin:stop].decode(errors="replace")
+                distance, end = edit_distance_within(self.chars[k], region)
+                if distance <= int(self.allowed[k]):
+                    best[r, k] = (distance, len(region[:end].encode()))
         for k in self.whole:
             at = raw.find(self.texts[k])
             while at >= 0:
@@ -255,21 +287,27 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 #: Bytes that a window may reach past its begin.
-_REACH = max(s[1] for s in SHAPES) + 1
+_REACH = STEPS + 1
 
 
-def _by_shape(texts: list[bytes], rate: float) -> list[list[int]]:
-    """Positions of the items of each shape: the first whose least size they have. Items without a single edit allowed have none."""
+def _by_shape(texts: list[bytes], rate: float, walks: list[int] | None = None) -> tuple[list[list[int]], list[int]]:
+    """Positions of the items of each shape, the first that they fit and that has walks, and of those left for plain edit distance. Items without a single edit allowed are in neither."""
     out: list[list[int]] = [[] for _ in SHAPES]
+    plain = []
     for k, t in enumerate(texts):
         if int(rate * len(t.decode(errors="replace"))):
-            out[next(i for i, s in enumerate(SHAPES) if len(t) >= s[0])].append(k)
-    return out
+            fit = [i for i, (size, word, _) in enumerate(SHAPES) if len(t) >= size and len(t.split()) * word >= (len(t) if word else 0) and (walks is None or walks[i])]
+            (out[fit[0]] if fit else plain).append(k)
+    return out, plain
 
 
 def walks_of(items: list[tuple[int, bytes]], rate: float) -> list[int]:
-    texts = [t for _, t in items]
-    return [walks_needed([texts[k] for k in mine], rate, shape) if mine else 0 for shape, mine in zip(SHAPES, _by_shape(texts, rate))]
+    """Walks of each shape for a block; 0 where a shape has no items or cannot reach the recall for them."""
+    texts, walks = [t for _, t in items], [1] * len(SHAPES)
+    for i, (_, _, at_words) in enumerate(SHAPES):
+        mine = _by_shape(texts, rate, walks)[0][i]
+        walks[i] = walks_needed([texts[k] for k in mine], rate, at_words) if mine else 0
+    return walks
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, rate: float) -> list[tuple[str, list[int]]]:
@@ -296,9 +334,10 @@ def contaminations(df: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     """A row for each document and benchmark item such that a part of the document is within the edit rate of the item: doc_id, item_id, edits, n_chars of the item, end (byte after the part).
 
     The CGK embedding of a window turns edits into few differing positions; keys sample positions of it. A key uses the embedding's
-    first steps (SHAPES), so its cost does not depend on the items' sizes, and windows begin at every word of documents and items, for
-    short items at every byte. Independent walks are added until random edits at the limit of the block's own items are found with the
-    target recall. Where a key is shared, the item-sized window around it is verified by exact edit distance (characters; ASCII case
+    first steps, so its cost does not depend on the items' sizes, and windows begin at every word of documents and items, for
+    items that are short or have few words at every byte. Independent walks are added until edits at the limit of the block's own
+    items, random, evenly spaced and clustered, are each found with the target recall; items for which no number of walks does that
+    are compared by edit distance with every text. Where a key is shared, the item-sized window around it is verified by exact edit distance (characters; ASCII case
     and the kind of white space are ignored). Items too short for a single edit match as they are, between word ends.
 
     Null or blank documents and items match nothing; rows with equal doc_id each give their rows; items that repeat each count;
@@ -309,19 +348,19 @@ def contaminations(df: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     schema = "doc_id long, item_id long, edits int, item_chars int, end long"
     out = None
     for path, walks in _blocks(benchmark, item, item_text, rate):
-        found = rows.mapInArrow(_searcher(path, walks, rate, None), schema)
+        found = rows.mapInArrow(_searcher(path, walks, rate, False), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else rows.sparkSession.createDataFrame([], schema)
 
 
-def _searcher(path: str, walks: list[int], rate: float, text: str | None):
-    """Task code: hits of a block of items, or with ``text``, the name of that column, the rows (all columns) that have none."""
+def _searcher(path: str, walks: list[int], rate: float, clean: bool):
+    """Task code: hits of a block of items, or with ``clean`` the rows (all columns) that have none."""
     def run(batches):
         items = Benchmark(pickle.loads(read_file(path)), rate, walks)
         size = {i: len(c) for i, c in zip(items.ids, items.chars)}
-        for batch, data, offsets in pieces(batches, text or "text"):
+        for batch, data, offsets in pieces(batches, "text"):
             hits = list(items.search(data, offsets))
-            if text is not None:
+            if clean:
                 bad = {h[0] for h in hits}
                 yield batch.take(pa.array([k for k in range(batch.num_rows) if k not in bad], pa.int64()))
             elif hits:
@@ -334,9 +373,10 @@ def _searcher(path: str, walks: list[int], rate: float, text: str | None):
 def decontaminate(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = EDIT_RATE) -> DataFrame:
     """The rows of ``df`` whose text holds no benchmark item (see ``contaminations``). Rows with null or blank texts stay, as do all rows
     where the benchmark is empty; repeated rows and null keys count each; extra columns pass through whatever their names."""
+    rows = df.select(packed(df), F.col(f"`{text}`").alias("text"))
     for path, walks in _blocks(benchmark, item, item_text, rate):
-        df = df.mapInArrow(_searcher(path, walks, rate, text), df.schema)
-    return df
+        rows = rows.mapInArrow(_searcher(path, walks, rate, True), rows.schema)
+    return unpacked(rows, df.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, documents, materialize, may_hold, mix, pieces, signed, words
+from .common import documents, materialize, may_hold, mix, packed, pieces, Rolling, signed, unpacked, words
 from .components import components
 
 WORDS = 5
@@ -345,8 +345,11 @@ def keep_one(df: DataFrame, **options) -> DataFrame:
     drop = found.filter(F.col("class_id") != F.col("doc_id")).select("doc_id").distinct()
     # Only ids that several rows carry need a pass that groups rows.
     repeated = df.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = df.join(drop, "doc_id", "left_anti").select(df.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(df.columns).union(kept.join(repeated, "doc_id").select(df.columns).dropDuplicates())
+    kept = df.select("doc_id", packed(df)).join(drop, "doc_id", "left_anti")
+    # Maps have no equality: rows are compared as JSON.
+    same = F.sha2(F.to_json("row", {"ignoreNullFields": "false"}), 256).alias("same")
+    once = kept.join(repeated, "doc_id").groupBy("doc_id", same).agg(F.first("row").alias("row"))
+    return unpacked(kept.join(repeated, "doc_id", "left_anti").select("row").union(once.select("row")), df.columns)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, documents, pieces, words
+from .common import Rolling, documents, packed, pieces, unpacked, words
 
 #: Rows that training holds at most: trusted positives, and unlabelled texts.
 MAX_POSITIVES = 20_000
@@ -211,7 +211,8 @@ def keep_quality(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for batch, data, offsets in pieces(batches, "text"):
             yield batch.take(pa.array(np.flatnonzero(model.score(features(data, offsets)) >= threshold)))
 
-    return df.mapInArrow(run, df.schema)
+    rows = df.select(packed(df), "text")
+    return unpacked(rows.mapInArrow(run, rows.schema), df.columns)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

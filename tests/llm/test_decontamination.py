@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -62,28 +63,49 @@ def test_odd_rows(spark):
     assert d.contaminations(long, items.filter("item_id = 1")).count() == 1
 
 
-def test_recall_at_the_edit_limit():
-    """Copies with as many random edits as are allowed, by size of the item, against exact edit distance."""
+@pytest.mark.parametrize("kind", d.KINDS)
+def test_recall_at_the_edit_limit(kind):
+    """Copies with as many edits as are allowed, by size of the item and by how the edits lie, against exact edit distance."""
     r, word = random.Random(7), lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    for size in (12, 33, 48, 64, 81, 105, 400):
+    for size in (12, 20, 33, 48, 64, 75, 90, 105, 200, 400):
         items = [(k, prose(100)[:size].strip().encode()) for k in range(40)]
         bench, edits = d.Benchmark(items), np.random.default_rng(size)
         hits = within = 0
         for k, t in items * 3:
-            text = f"{prose(15)} {d.edited(t, int(0.1 * len(t)), edits).decode()} {prose(15)}".encode()
+            text = f"{prose(15)} {d.spread_edits(t, int(0.1 * len(t)), kind, edits).decode()} {prose(15)}".encode()
             within += (distance := d.edit_distance_within(t.decode(), text.decode())[0]) <= 0.1 * len(t)
             hits += any(row[1] == k and row[2] == distance for row in bench.search(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
-        print(size, hits / within, [w[1].sampled.sum() for w in bench.tables])
+        print(kind, size, hits / within, len(bench.tables))
         assert within == 120 and hits >= 0.98 * within, size
 
 
+def test_items_without_words_and_far_edits(monkeypatch):
+    """Text without spaces is looked at from every byte; where edits leave nothing whole, the plain edit distance decides."""
+    r, edits = random.Random(8), np.random.default_rng(8)
+    items = [(k, "".join(chr(r.randrange(0x4E00, 0x5E00)) for _ in range(60)).encode()) for k in range(20)]
+    bench = d.Benchmark(items)
+    assert not bench.tables or not any(t[0] for t in bench.tables)
+    far = [(k, " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(20)).encode()) for k in range(10)]
+    monkeypatch.setattr(d, "MOST_WALKS", 1)
+    loose = d.Benchmark(far, rate=0.6)
+    assert loose.plain
+    for some, rate, own in ((items, 0.1, bench), (far, 0.6, loose)):
+        for k, t in some:
+            chars = list(t.decode())
+            for at in edits.choice(len(chars), int(rate * len(chars)), replace=False):
+                chars[at] = "z"
+            text = f"before {''.join(chars)} after"
+            assert any(row[1] == k for row in own.search(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])))
+
+
 def test_walks_are_added_until_the_recall_is_met():
     texts = [ITEM.encode()]
-    assert d.walks_needed(texts, 0.1, d.SHAPES[0]) >= d.walks_needed(texts, 0.1, d.SHAPES[0], recall=0.5)
-    assert d.walks_needed(texts, 0.25, d.SHAPES[0]) > d.walks_needed(texts, 0.02, d.SHAPES[0])
+    assert d.walks_needed(texts, 0.1, True) >= d.walks_needed(texts, 0.1, True, recall=0.5) >= 1
+    assert d.walks_needed(texts, 0.2, True) > d.walks_needed(texts, 0.02, True)
+    assert d.walks_needed(texts, 0.5, True) == 0
     data = np.frombuffer(b"abc abc" + b"\0" * 40, np.uint8)
-    walk = d.Walk(0, 20, 10)
+    walk = d.Walk(0)
     assert walk.keys(data, np.array([0]))[0] == walk.keys(data, np.array([0]))[0]
 
 
