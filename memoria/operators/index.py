@@ -229,10 +229,12 @@ def ingest_decision(found: DataFrame) -> DataFrame:
     """
     kinds = found.groupBy(*ASPECTS).agg(F.min("doc_id").alias("first"))
     subsets = [s for n in (3, 4, 5) for s in itertools.combinations(ASPECTS, n)]
-    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(len(s)).alias("size"), F.array(*[F.col(c) if c in s else F.lit(None).cast("long") for c in ASPECTS]).alias("held")) for i, s in enumerate(subsets)])
+    # Keys of fixed width; what a combination leaves out is 0 in its rows.
+    names = [f"k{j}" for j in range(len(ASPECTS))]
+    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(len(s)).alias("size"), *[(F.col(c) if c in s else F.lit(0).cast("long")).alias(k) for k, c in zip(names, ASPECTS)]) for i, s in enumerate(subsets)])
     keyed = kinds.select(*ASPECTS, "first", F.explode(keys).alias("k")).select(*ASPECTS, "first", "k.*")
-    firsts = keyed.groupBy("i", "held").agg(F.min("first").alias("earliest"))
-    met = keyed.join(firsts, ["i", "held"]).groupBy(*ASPECTS).agg(*[F.min(F.when(F.col("size") == n, F.col("earliest"))).alias(f"first{n}") for n in (3, 4, 5)])
+    firsts = keyed.groupBy("i", *names).agg(F.min("first").alias("earliest"))
+    met = keyed.join(firsts, ["i", *names]).groupBy(*ASPECTS).agg(*[F.min(F.when(F.col("size") == n, F.col("earliest"))).alias(f"first{n}") for n in (3, 4, 5)])
     best = F.lit(0)
     for n in (3, 4, 5):
         best = F.when(F.col(f"first{n}") < F.col("doc_id"), n).otherwise(best)
