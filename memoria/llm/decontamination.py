@@ -16,12 +16,11 @@ from .files import read_file, write_file
 #: Edits allowed, as a part of an item's characters.
 EDIT_RATE = 0.1
 TARGET_RECALL = 0.999
-#: Steps of a walk, and steps whose byte is part of a key. A walk consumes about half a byte a step, and of an item with edits in a
-#: tenth of its places some eight bytes in a row are always whole, however the edits lie.
-STEPS, SAMPLED = 12, 9
-#: Shapes of windows: (bytes of an item from which on it holds, bytes that each of its words may stand for, whether windows begin at words
-#: only). Items with words enough have whole ones between their edits; others are looked at from every byte.
-SHAPES = [(64, 12, True), (0, 0, False)]
+#: Shapes of windows: (bytes of an item from which on it holds, bytes that each of its words may stand for, steps of a walk, steps whose byte is
+#: part of a key, whether windows begin at words only). A walk consumes about half a byte a step, and of an item with edits in a tenth of
+#: its places some eight bytes in a row are always whole, however the edits lie: walks differ in how many bytes their keys take, so enough
+#: of them find such places at words too. Items with few words are looked at from every byte, by shorter keys.
+SHAPES = [(64, 12, 20, 10, True), (0, 0, 12, 9, False)]
 #: Walks that are tried before the items of a shape go to the next one, and from the last one to plain edit distance.
 MOST_WALKS = 32
 #: Trial edits of each kind, of a block's own items, that tell how many walks are needed.
@@ -42,7 +41,7 @@ _FOLD[SPACE] = 32
 class Walk:
     """One CGK random walk: at each step the byte under the pointer is the output, and a random bit of (step, byte) moves the pointer on."""
 
-    def __init__(self, seed: int, steps: int = STEPS, sampled: int = SAMPLED):
+    def __init__(self, seed: int, steps: int, sampled: int):
         table = mix(np.arange(steps * 256, dtype=np.uint64) + np.uint64(seed * 1_000_003 + 17)).reshape(steps, 256)
         self.move = (table & np.uint64(1)).astype(np.int32)
         order = np.argsort(mix(np.arange(steps, dtype=np.uint64) + np.uint64(seed * 31 + 5)))
@@ -98,11 +97,13 @@ def spread_edits(text: bytes, edits: int, kind: str, random: np.random.Generator
     return bytes(out)
 
 
-def walks_needed(texts: list[bytes], rate: float, at_words: bool, recall: float = TARGET_RECALL) -> int:
+def walks_needed(texts: list[bytes], rate: float, shape: tuple[int, int, int, int, bool], recall: float = TARGET_RECALL) -> int:
     """How many walks find copies of the items with all the edits that are allowed, counted on trial edits of the items themselves; each kind of edits must reach the recall. 0: more than MOST_WALKS."""
-    random = np.random.default_rng(11)
-    chosen = [(texts[k * len(texts) // TRIALS], kind) for k in range(TRIALS) for kind in KINDS]
-    pairs = [(t + bytes(STEPS + 1), b"\1 " + spread_edits(t, int(rate * len(t.decode(errors="replace"))), kind, random) + b" \1 " + bytes(STEPS + 1)) for t, kind in chosen]
+    _, _, steps, sampled, at_words = shape
+    random, by_size = np.random.default_rng(11), sorted(texts, key=len)
+    # Short items are the harder ones: they are tried more often.
+    chosen = [(by_size[int(len(texts) * (k / TRIALS) ** 2)], kind) for k in range(TRIALS) for kind in KINDS]
+    pairs = [(t + bytes(steps + 1), b"\1 " + spread_edits(t, int(rate * len(t.decode(errors="replace"))), kind, random) + b" \1 " + bytes(steps + 1)) for t, kind in chosen]
     # All sides as one text each, so that a walk is one pass over all of them.
     keyed = []
     for side in zip(*pairs):
@@ -110,11 +111,11 @@ def walks_needed(texts: list[bytes], rate: float, at_words: bool, recall: float
         offsets = np.concatenate(([0], np.cumsum(sizes)))
         at = anchors(data, offsets, at_words)
         owner = np.searchsorted(offsets, at, "right") - 1
-        inside = at < offsets[owner + 1] - STEPS - 1
-        keyed.append((np.concatenate((data, np.zeros(STEPS + 1, np.uint8))), at[inside], owner[inside]))
+        inside = at < offsets[owner + 1] - steps - 1
+        keyed.append((np.concatenate((data, np.zeros(steps + 1, np.uint8))), at[inside], owner[inside]))
     found = np.zeros(len(pairs), bool)
     for n in range(1, MOST_WALKS + 1):
-        walk = Walk(n - 1)
+        walk = Walk(n - 1, steps, sampled)
         names = [mix(walk.keys(data, at) ^ mix(owner.astype(np.uint64))) for data, at, owner in keyed]
         found[keyed[0][2][np.isin(names[0], names[1])]] = True
         if ((~found).reshape(TRIALS, len(KINDS)).sum(0) <= (1 - recall) * TRIALS).all():
@@ -167,13 +168,13 @@ class Benchmark:
         #: Items too short for a single edit are looked up as they are, between word ends.
         self.whole = np.flatnonzero(self.allowed == 0).tolist()
         walks = walks or walks_of(items, rate)
-        pad = bytes(STEPS + 1)
+        pad = bytes(_REACH)
         data = np.frombuffer(pad.join(self.texts) + pad, np.uint8)
         sizes = np.array([len(t) for t in self.texts])
         begin = np.concatenate(([0], np.cumsum(sizes + len(pad))))[:-1]
         self.tables = []
         shaped, self.plain = _by_shape(self.texts, rate, walks)
-        for (_, _, at_words), n, mine in zip(SHAPES, walks, shaped):
+        for (_, _, steps, sampled, at_words), n, mine in zip(SHAPES, walks, shaped):
             owner, offset = [], []
             for k in mine:
                 start = anchors(np.frombuffer(self.texts[k], np.uint8), np.array([0, sizes[k]]), at_words)
@@ -183,7 +184,7 @@ class Benchmark:
                 continue
             owner, offset = np.concatenate(owner), np.concatenate(offset)
             for seed in range(n):
-                walk = Walk(seed)
+                walk = Walk(seed, steps, sampled)
                 key = walk.keys(data, begin[owner] + offset)
                 order = np.argsort(key)
                 seen = np.zeros(1 << _FILTER_BITS, bool)
@@ -287,7 +288,7 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 #: Bytes that a window may reach past its begin.
-_REACH = STEPS + 1
+_REACH = max(s[2] for s in SHAPES) + 1
 
 
 def _by_shape(texts: list[bytes], rate: float, walks: list[int] | None = None) -> tuple[list[list[int]], list[int]]:
@@ -296,7 +297,7 @@ def _by_shape(texts: list[bytes], rate: float, walks: list[int] | None = None) -
     plain = []
     for k, t in enumerate(texts):
         if int(rate * len(t.decode(errors="replace"))):
-            fit = [i for i, (size, word, _) in enumerate(SHAPES) if len(t) >= size and len(t.split()) * word >= (len(t) if word else 0) and (walks is None or walks[i])]
+            fit = [i for i, (size, word, *_) in enumerate(SHAPES) if len(t) >= size and len(t.split()) * word >= (len(t) if word else 0) and (walks is None or walks[i])]
             (out[fit[0]] if fit else plain).append(k)
     return out, plain
 
@@ -304,9 +305,9 @@ def _by_shape(texts: list[bytes], rate: float, walks: list[int] | None = None) -
 def walks_of(items: list[tuple[int, bytes]], rate: float) -> list[int]:
     """Walks of each shape for a block; 0 where a shape has no items or cannot reach the recall for them."""
     texts, walks = [t for _, t in items], [1] * len(SHAPES)
-    for i, (_, _, at_words) in enumerate(SHAPES):
+    for i, shape in enumerate(SHAPES):
         mine = _by_shape(texts, rate, walks)[0][i]
-        walks[i] = walks_needed([texts[k] for k in mine], rate, at_words) if mine else 0
+        walks[i] = walks_needed([texts[k] for k in mine], rate, shape) if mine else 0
     return walks
 
 

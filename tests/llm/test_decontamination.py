@@ -101,11 +101,11 @@ def test_items_without_words_and_far_edits(monkeypatch):
 
 def test_walks_are_added_until_the_recall_is_met():
     texts = [ITEM.encode()]
-    assert d.walks_needed(texts, 0.1, True) >= d.walks_needed(texts, 0.1, True, recall=0.5) >= 1
-    assert d.walks_needed(texts, 0.2, True) > d.walks_needed(texts, 0.02, True)
-    assert d.walks_needed(texts, 0.5, True) == 0
+    assert d.walks_needed(texts, 0.1, d.SHAPES[0]) >= d.walks_needed(texts, 0.1, d.SHAPES[0], recall=0.5) >= 1
+    assert d.walks_needed(texts, 0.2, d.SHAPES[0]) > d.walks_needed(texts, 0.02, d.SHAPES[0])
+    assert d.walks_needed(texts, 0.5, d.SHAPES[0]) == 0
     data = np.frombuffer(b"abc abc" + b"\0" * 40, np.uint8)
-    walk = d.Walk(0)
+    walk = d.Walk(0, 20, 10)
     assert walk.keys(data, np.array([0]))[0] == walk.keys(data, np.array([0]))[0]
 
 
