@@ -77,6 +77,19 @@ def freshness(log: DataFrame, as_of: Column, *, key: str, at: str) -> DataFrame:
     return last.select("key", hours.alias("gap_hours"), F.least(F.lit(1.0), hours / 168).alias("decay"), F.when(hours > 24, "decaying").when(hours > 4, "aging").otherwise("fresh").alias("state"))
 
 
+# Entries that the decay of a memory is measured over, the least that tell anything, and hours of a week.
+DECAY_WINDOW, DECAY_LEAST, DECAY_HOURS = 50, 5, 168
+
+
+def context_decay(log: DataFrame, as_of: Column, *, at: str, window: int = DECAY_WINDOW) -> DataFrame:
+    """One row: entries looked at, their mean age and the newest one's in hours, decay (mean age over a week, up to 1) and health. Only the latest ``window`` count; under five give a healthy 0."""
+    latest = log.select(F.col(at).alias("at")).filter("at IS NOT NULL").orderBy(F.desc("at")).limit(window)
+    age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))) / 3.6e9
+    row = latest.agg(F.count(F.lit(1)).alias("entries"), F.avg(age).alias("mean_age_hours"), F.min(age).alias("gap_hours"))
+    few, gap = F.col("entries") < DECAY_LEAST, F.col("gap_hours")
+    return row.select("entries", "mean_age_hours", "gap_hours", F.when(few, 0.0).otherwise(F.least(F.lit(1.0), F.col("mean_age_hours") / DECAY_HOURS)).alias("decay"), F.when(few, "healthy").when(gap > 24, "decaying").when(gap > 4, "aging").otherwise("healthy").alias("health"))
+
+
 def quorum(votes: DataFrame, *, least: int = 2, ratio: float = 0.67) -> DataFrame:
     """(request, votes, approve_share, status) of (request, approve): pending below ``least`` votes, else by the share."""
     grouped = votes.groupBy("request").agg(F.count(F.lit(1)).alias("votes"), F.avg(F.col("approve").cast("double")).alias("approve_share"))

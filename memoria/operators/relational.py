@@ -14,6 +14,15 @@ def browse(df: DataFrame, order: list[str], *, where: Column | None = None, limi
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def browse_page(df: DataFrame, order: list[str], *, where: Column | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """The page's rows with ``total``, the rows that there are, and ``showing``, as in "21-40 of 300". The total is one row that is counted apart; a page past the end has no rows."""
+    found = df.filter(where) if where is not None else df
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    page = browse(found, order, limit=limit, offset=offset).crossJoin(F.broadcast(total))
+    last = F.least(F.lit(offset + limit).cast("long"), F.col("total"))
+    return page.withColumn("showing", F.format_string("%d-%d of %d", F.lit(offset + 1), last, F.col("total")))
+
+
 def like(column: Column, term: str) -> Column:
     """Substring test without regard to ASCII case; the term's own wildcards are ordinary characters."""
     fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import compress, emotion, safety, text
-from ..operators import aggregates, assembly, code, conversation, graph, index, links, rank, relational, search, sync
+from ..operators import aggregates, assembly, code, conversation, disclosure, graph, index, links, rank, relational, search, sync
 from ..sources import tables
 from ..sources.tables import table
 from ..streaming import state
@@ -629,3 +629,36 @@ _MORE = f"""UNION ALL SELECT doc_id, 'chat_' || lang, 8, 0, 1.5 FROM documents U
 def annotate_full(spark, d):
     rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", F.col("role").alias("lang"), F.concat(F.lit("Chat "), "role").alias("channel"))
     return index.annotate(rows, author="lang", agents=_AGENTS, metadata=["channel"], emotions=True).withColumn("weight", F.round("weight", 4))
+
+
+# -- pages, decay and layers ----------------------------------------------------------------------
+
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total, '41-60 of ' || (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS showing FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 20 OFFSET 40")
+def browse_page(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return relational.browse_page(rows, ["o_orderkey"], where=F.col("o_orderstatus") == "F", limit=20, offset=40).drop("o_orderstatus")
+
+
+@query(f"""WITH a AS (SELECT (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 3.6e9 AS h FROM (SELECT ts FROM events WHERE ts IS NOT NULL ORDER BY ts DESC LIMIT 50)), r AS (SELECT count(*) AS entries, avg(h) AS mean, min(h) AS gap FROM a)
+ SELECT entries, round(mean, 4) AS mean_age_hours, round(gap, 4) AS gap_hours, round(CASE WHEN entries < 5 THEN 0.0 ELSE least(1.0, mean / 168) END, 6) AS decay, CASE WHEN entries < 5 THEN 'healthy' WHEN gap > 24 THEN 'decaying' WHEN gap > 4 THEN 'aging' ELSE 'healthy' END AS health FROM r""")
+def memory_decay(spark, d):
+    found = aggregates.context_decay(table(spark, d, "events"), _as_of(), at="ts")
+    return found.select("entries", F.round("mean_age_hours", 4).alias("mean_age_hours"), F.round("gap_hours", 4).alias("gap_hours"), F.round("decay", 6).alias("decay"), "health")
+
+
+@query()
+def ppr_overridden(spark, d):
+    deltas = table(spark, d, "events").filter("event_type = 'click'").select((F.col("user_id") % 100 + 1).alias("source_id"), (100000 + F.col("event_id") % 500).alias("target_id"), ((F.col("value") - 50) / 1000).alias("delta"))
+    return graph.pagerank(_order_links(spark, d), [1, 2, 3], sweeps=50, epsilon=1e-4, overrides=deltas).select("node", F.round("score", 6).alias("score"))
+
+
+@query()
+def disclosure_candidates(spark, d):
+    """Layers 1 to 3 of every supplier, over the links of lines with states made of their columns."""
+    links = _order_links(spark, d).select("source_id", "target_id", "strength", F.element_at(F.array(*map(F.lit, graph.STATES)), (F.col("target_id") % 4 + 1).cast("int")).alias("link_state"), (F.col("source_id") % 2 == 0).alias("explored"), F.when(F.col("target_id") % 3 == 0, "shared_annotation").otherwise("session").alias("link_type"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("content"))
+    suppliers = table(spark, d, "supplier")
+    summaries = docs.unionByName(suppliers.select((F.col("s_suppkey") % 500 + 100000).alias("id"), F.lit("src1").alias("source"), F.col("s_name").alias("content")).distinct())
+    asked = suppliers.select((F.col("s_suppkey") % 7).cast("string").alias("session"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("layer"), F.col("s_suppkey").alias("parent_id"))
+    rejected = table(spark, d, "events").filter("event_type = 'error'").select((F.col("event_id") % 7).cast("string").alias("session"), F.col("user_id").alias("summary_id"))
+    return disclosure.layer_candidates(asked, links, summaries, docs, rejected)
