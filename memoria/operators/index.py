@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import graph
 from ..functions import emotion, hashing, text
+from ..scratch import materialize
 
 # Weights of the steps that annotate a document, in the order in which the first to name a token wins.
 HASHTAG, MENTION, PROJECT, AGENT, AUTHOR, INTENT, KEYWORD, METADATA, EMOTION = range(1, 10)
@@ -110,19 +111,34 @@ def fingerprints(docs: DataFrame, top: int = 15) -> DataFrame:
 
 
 def hamming_join(prints: DataFrame, distance: int = 6) -> DataFrame:
-    """(a, b, distance) with a < b for fingerprints within ``distance``, without a cross join: such a pair agrees in a band.
+    """(a, b, distance) with a < b for fingerprints within ``distance``, without a cross join.
 
-    Equal fingerprints meet once for each value, so a hot fingerprint adds members but no band rows.
+    Of ``distance`` + 2 blocks of bits such a pair agrees in two at least: every two blocks are a key, so a bucket is some 2^16 times
+    smaller than the table, and a pair is taken at the first two that agree. Equal fingerprints meet once; their documents are paired
+    afterwards, in blocks of bounded size. Fingerprints of 0 (no keywords) are like none.
     """
-    values = prints.groupBy("simhash").agg(F.collect_list("doc_id").alias("docs")).filter("simhash <> 0")
-    banded = values.select("simhash", F.explode(hashing.bands(F.col("simhash"), distance)).alias("k")).select("simhash", "k.*")
-    other = banded.select(F.col("simhash").alias("other"), "band", "bits")
-    near = banded.join(other, ["band", "bits"]).filter("simhash < other").select("simhash", "other").distinct()
-    near = near.withColumn("distance", hashing.hamming(F.col("simhash"), F.col("other")).cast("long")).filter(F.col("distance") <= distance)
-    left, right = values.select("simhash", "docs"), values.select(F.col("simhash").alias("other"), F.col("docs").alias("others"))
-    pairs = near.join(left, "simhash").join(right, "other").select("distance", F.explode("docs").alias("x"), "others").select("distance", "x", F.explode("others").alias("y"))
-    same = values.filter(F.size("docs") > 1).select(F.explode("docs").alias("x"), "docs").select("x", F.explode("docs").alias("y")).filter("x < y")
-    return pairs.unionByName(same.withColumn("distance", F.lit(0).cast("long"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    n = distance + 2
+    cuts = [64 * k // n for k in range(n + 1)]
+    block = lambda x, k: F.shiftrightunsigned(x, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
+    two = list(itertools.combinations(range(n), 2))
+    prints = materialize(prints.select("doc_id", "simhash").filter("simhash <> 0"), "prints")
+    groups = materialize(prints.groupBy("simhash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "groups")
+    keys = F.array(*[F.struct(F.lit(c).alias("c"), block(F.col("simhash"), i).alias("x"), block(F.col("simhash"), j).alias("y")) for c, (i, j) in enumerate(two)])
+    met = graph.meet(groups.select("rep", "n", "simhash", F.explode(keys).alias("key")))
+    apart = F.col("simhash").bitwiseXOR(F.col("other_simhash"))
+    differs = lambda k: block(apart, k) != 0
+    earliest = F.lit(False)
+    for c, (i, j) in enumerate(two):
+        rule = F.col("key.c") == c
+        for k in range(j):
+            if k != i:
+                rule = rule & differs(k)
+        earliest = earliest | rule
+    near = F.bit_count(apart).cast("long")
+    met = met.filter((near <= distance) & earliest).select("rep", F.col("other_rep").alias("other"), near.alias("distance"))
+    blocked = graph.blocks(prints.join(groups.filter("n > 1"), "simhash").select("rep", "n", "doc_id"))
+    pairs = graph.within(blocked).select(F.lit(0).cast("long").alias("distance"), "x", "y").unionByName(graph.across(met, blocked, "distance"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
 def aspects(docs: DataFrame, *, source: str = "source", author: str = "lang", terms: list[str] = TERMS) -> DataFrame:

@@ -49,8 +49,10 @@ def test_link_states(spark):
 def test_diversity_sample(spark):
     nodes = spark.createDataFrame([(i, "abc"[i % 3], float(i) if i % 4 else None) for i in range(60)], "id long, type string, complexity double")
     found = graph.diversity_sample(nodes, 20).collect()
-    assert len({r.id for r in found}) == 20 and [sum(r.phase == p for r in found) for p in (1, 2, 3)] == [8, 8, 4]
-    assert {r.type for r in found if r.phase == 2} == {"a", "b", "c"}
+    # The best of every kind is among the eight best, so the first round adds none and is the last; no kind is structural.
+    assert len({r.id for r in found}) == 20 and [sum(r.phase == p for r in found) for p in (1, 2, 3, 4)] == [8, 0, 0, 12]
+    few = graph.diversity_sample(nodes.withColumn("complexity", F.when(F.col("type") == "a", 0.5).otherwise(F.col("complexity"))), 20).collect()
+    assert [sum(r.phase == p for r in few) for p in (1, 2, 3, 4)] == [8, 8, 0, 4] and {r.type for r in few if r.phase == 2} == {"a", "b", "c"}
 
 
 def limiter(times, most, seconds):
