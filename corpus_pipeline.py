@@ -13,27 +13,27 @@ from memoria.llm.sentencepiece import encode_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below its threshold go."""
+    """Documents that the classifier scores below its threshold go. Null and empty texts have a score like others; repeated rows and null ids count each; without positive labels, and in an empty table, all scores are one half."""
     return keep_quality(docs, documents(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the least doc_id stays."""
+    """Of each class of linked documents the one with the least doc_id stays, and one of repeated rows. Null texts and texts under five words are linked to equal ones at most; null ids stay; an empty table stays empty."""
     return keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by a passage of PASSAGE bytes (some fifty words) that also starts elsewhere leave the texts, wherever it stands."""
+    """Bytes covered by a passage of PASSAGE bytes (some fifty words) that also starts elsewhere leave the texts, wherever it stands. Null texts stay null, a text that is one repeat becomes empty; no row is lost or added."""
     return remove_repeats(docs, length=PASSAGE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and blank texts hold none; repeated rows go or stay together; an empty benchmark takes nothing."""
     return decontaminate(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text: doc_id, ids."""
+    """The ids of every text: doc_id, ids. A null or empty text has none; rows repeat as they do in ``docs``."""
     import public_tokenizers
 
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
