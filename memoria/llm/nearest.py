@@ -18,7 +18,7 @@ SUBSPACE = 2
 #: Inner products relative to the norm above which a match counts in the quantiser's weights.
 RELEVANT = 0.2
 #: Distinct vectors of one block that are scored exactly for each query.
-RERANK = 150
+RERANK = 256
 #: Rows of a block of vectors, and of a block of queries: a task scans one pair of blocks.
 BLOCK = 8192
 QUERY_BLOCK = 4096
