@@ -195,6 +195,9 @@ class Benchmark:
         """Which windows have enough of their item's six-byte grams. An edit spoils those around the bytes of one character, so no true match is lost."""
         keep = np.zeros(len(items), bool)
         order = np.argsort(items, kind="stable")
+        # Positions beside the data are those of a bucket that no item has.
+        pad = max(map(len, self.texts)) + 4 * int(self.allowed.max(initial=0)) + 8
+        grams = np.pad(grams.astype(np.uint16), pad, constant_values=_GRAM_BUCKETS)
         for part in np.split(order, np.flatnonzero(np.diff(items[order])) + 1):
             k = int(items[part[0]])
             size = len(self.texts[k])
@@ -203,12 +206,10 @@ class Benchmark:
             if least <= 0:
                 keep[part] = True
                 continue
-            span, own = np.arange(-slack, size + slack), np.unpackbits(self.grams[k]).astype(bool)
+            span, own = np.arange(-slack, size + slack, dtype=np.int32) + pad, np.append(np.unpackbits(self.grams[k]), np.uint8(0))
             for some in np.array_split(part, -(-len(part) * len(span) // 2_000_000)):
-                at = where[some][:, None] + span
-                inside = (at >= 0) & (at < len(grams))
-                near = own[grams[np.clip(at, 0, len(grams) - 1)]] & inside
-                keep[some] = near.sum(1) >= least
+                at = where[some].astype(np.int32)[:, None] + span
+                keep[some] = own[grams[at]].sum(1, dtype=np.int32) >= least
         return keep
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -241,17 +242,23 @@ class Benchmark:
             packed = np.unique(np.stack((row[hit], owner[entry], where >> 6), 1), axis=0)
             found.update(map(tuple, packed.tolist()))
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        # Stretches of text around the diagonals, those of one row and item that meet taken together.
+        stretches: list[list[int]] = []
         for r, k, diagonal in sorted(found):
-            if best.get((r, k), (1, 0))[0] == 0:
-                continue
             begin, stop = int(offsets[r]), int(offsets[r + 1])
-            size = len(self.texts[k])
-            allowed = int(self.allowed[k])
-            slack = 2 * allowed + _REACH
+            size, slack = len(self.texts[k]), 2 * int(self.allowed[k]) + _REACH
             a, b = max(begin, (diagonal << 6) - slack), min(stop, ((diagonal + 1) << 6) + size + slack)
+            if stretches and stretches[-1][:2] == [r, k] and a <= stretches[-1][3]:
+                stretches[-1][3] = b
+            else:
+                stretches.append([r, k, a, b])
+        for r, k, a, b in stretches:
+            if best.get((r, k), (1, 0))[0] == 0:
+                continue
+            begin, allowed = int(offsets[r]), int(self.allowed[k])
             exact = raw.find(self.texts[k], a, b)
             if exact >= 0:
-                best[r, k] = (0, exact + size - begin)
+                best[r, k] = (0, exact + len(self.texts[k]) - begin)
                 continue
             region = raw[a:b].decode(errors="replace")
             distance, end = edit_distance_within(self.chars[k], region)
