@@ -531,9 +531,9 @@ def file_gate(spark, d):
 
 # -- one search -----------------------------------------------------------------------------------
 
-_ASKED = [*QUERY_TERMS, "latest", "code"]
+_SOUGHT = [*QUERY_TERMS, "latest", "code"]
 _PATH = "['notes/a.py', 'b.js', 'c.md', 'plain'][doc_id % 4 + 1]"
-_SEARCH = f"""{_TOKENS}, q(t) AS (VALUES {', '.join(f"('{t}')" for t in _ASKED)}),
+_SEARCH = f"""{_TOKENS}, q(t) AS (VALUES {', '.join(f"('{t}')" for t in _SOUGHT)}),
  docs AS (SELECT count(*)::DOUBLE AS docs FROM documents), sizes AS (SELECT doc_id, count(*) AS n FROM ann GROUP BY 1), mean AS (SELECT avg(n) AS avg_n FROM sizes),
  hit AS (SELECT doc_id, token, weight FROM ann WHERE token IN (SELECT t FROM q)), dfs AS (SELECT token, count(*) AS df FROM hit GROUP BY 1),
  warm AS (SELECT ['ther', 'eran', 'anhe', 'zzz'][event_id % 4 + 1] AS topic, round(sum(value * exp(-{{age}} / 24.0)), 3) AS heat FROM events WHERE event_id % 3 <> 1 AND {{age}} BETWEEN 0 AND 168 GROUP BY 1),
@@ -567,7 +567,7 @@ def ranked_search(spark, d):
     corpus = search.Corpus(
         index.keywords(docs).select("doc_id", "token", "weight"), facts, heat=heat, selections=events.select(F.col("user_id").alias("doc_id"), signal.alias("signal")),
         rejections=events.filter("event_type = 'error'").select(F.col("user_id").alias("doc_id"), F.col("ts").alias("at")), links=links, explored=docs.filter("doc_id % 2 = 0").select("doc_id"))
-    return search.ranked_search(corpus, _ASKED, as_of=_as_of(), agent="en", limit=1 << 30).withColumn("score", F.round("score", 6))
+    return search.ranked_search(corpus, _SOUGHT, as_of=_as_of(), agent="en", limit=1 << 30).withColumn("score", F.round("score", 6))
 
 
 # -- files and pieces -----------------------------------------------------------------------------
@@ -634,7 +634,7 @@ def annotate_full(spark, d):
 # -- pages, decay and layers ----------------------------------------------------------------------
 
 @query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total, '41-60 of ' || (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS showing FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 20 OFFSET 40")
-def browse_page(spark, d):
+def browse_showing(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     return relational.browse_page(rows, ["o_orderkey"], where=F.col("o_orderstatus") == "F", limit=20, offset=40).drop("o_orderstatus")
 
