@@ -93,6 +93,10 @@ def _bytes(c: Column) -> Column:
     return F.encode(c, "UTF-8")
 
 
+def _base64_decode(c: Column) -> Column:
+    return F.decode(F.unbase64(F.rpad(c, (F.ceil(F.length(c) / 4) * 4).cast("int"), F.lit("="))), "UTF-8")
+
+
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -101,8 +105,8 @@ IP = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 
 #: Commands by name; each takes (column, argument).
 COMMANDS: dict[str, Callable] = {
-    "base64-encode": lambda c, a=None: F.base64(_bytes(c)),
-    "base64-decode": lambda c, a=None: F.decode(F.unbase64(F.rpad(F.trim(c), (F.ceil(F.length(F.trim(c)) / 4) * 4).cast("int"), F.lit("="))), "UTF-8"),
+    "base64-encode": lambda c, a=None: F.translate(F.base64(_bytes(c)), "\r\n", ""),  # base64 breaks lines after 76 characters
+    "base64-decode": lambda c, a=None: _base64_decode(F.regexp_replace(c, r"\s", "")),
     "hex-encode": lambda c, a=None: F.lower(F.hex(_bytes(c))),
     "hex-decode": lambda c, a=None: F.decode(F.unhex(F.replace(F.trim(c), F.lit(" "), F.lit(""))), "UTF-8"),
     "url-encode": lambda c, a=None: _replaced(("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/"))(F.url_encode(c)),

@@ -45,6 +45,14 @@ def test_simhash_and_bands(spark):
     assert a & b
 
 
+def test_long_base64_is_one_line(spark):
+    url = "https://www.example.org/es/26842?utm_source=feed&" + "é" * 40
+    plain = base64.b64encode(url.encode()).decode()
+    assert one(spark, transforms.apply(F.col("v"), "base64-encode"), v=url) == plain
+    for written in (plain, plain.rstrip("="), "\r\n".join(textwrap.wrap(plain, 76)), "\n".join(textwrap.wrap(plain.rstrip("="), 61))):
+        assert one(spark, transforms.apply(F.col("v"), "base64-decode"), v=written) == url
+
+
 CASES = {
     "upper": ("hello world", None, "HELLO WORLD"), "base64-decode": ("aGVsbG8=", None, "hello"), "snake": ("Hello World", None, "hello_world"), "kebab": ("helloWorld", None, "hello-world"),
     "camel": ("hello big_world", None, "helloBigWorld"), "pascal": ("hello big-world", None, "HelloBigWorld"), "slug": ("  Hello World!  ", None, "hello-world"),
